@@ -174,7 +174,7 @@ def _crf_grad(e: np.ndarray, tags: np.ndarray, mask: np.ndarray, trans: np.ndarr
     return loss - float(first[tags[0]].sum()), de, dtrans, dfirst
 
 
-def fit(examples: list[tuple[str, list[Span]]], rounds: int = 3, batch: int = 48, rate: float = 0.012, seed: int = 7) -> dict[str, np.ndarray]:
+def fit(examples: list[tuple[str, list[Span]]], rounds: int = 4, batch: int = 48, rate: float = 0.012, seed: int = 7) -> dict[str, np.ndarray]:
     """Parameters from labelled texts of at most WINDOW characters, by Adam."""
     p = new_parameters(seed)
     codes, tags = np.zeros((len(examples), WINDOW), np.int64), np.zeros((len(examples), WINDOW), np.int64)
@@ -263,7 +263,7 @@ def decode(p: dict[str, np.ndarray], windows: list[str]) -> list[list[Span]]:
 _PARTS = "an en er in on re st th ti ou ha le la de ch ge ei un ue as os ci ra do ment tion ing ble ung lich que".split()
 
 
-def examples(n: int = 2_400, seed: int = 5) -> list[tuple[str, list[Span]]]:
+def examples(n: int = 3_000, seed: int = 5) -> list[tuple[str, list[Span]]]:
     """Invented sentences with labelled spans, plain and disguised, and numbers that are none."""
     rng = random.Random(seed)
     digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
