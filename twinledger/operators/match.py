@@ -106,8 +106,9 @@ def matches(pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:
     if config.weighted_can_fire:
         staged = pairs.withColumn("levenshtein", round2(S.levenshtein_similarity(F.col("q_norm_text"), F.col("norm_text"))))
     else:
-        within = F.when(F.abs(F.col("text_len") - F.col("q_text_len")) <= band, round2(S.levenshtein_similarity(F.col("q_norm_text"), F.col("norm_text"))))
-        staged = pairs.withColumn("levenshtein", F.coalesce(within, F.lit(0.0)))
+        edits = F.call_function("levenshtein", F.col("q_norm_text"), F.col("norm_text"), band.cast("int"))
+        counted = pairs.withColumn("edits", edits)
+        staged = counted.withColumn("levenshtein", F.when(F.col("edits") < 0, F.lit(0.0)).otherwise(round2((1 - F.col("edits") / longest) * 100)))
     a, b = F.size("q_tokens"), F.size("tokens")
     near = F.least(a, S.near_tokens(F.col("tokens"), F.col("q_tokens")))
     bound = F.when((a == 0) & (b == 0), 100.0).when((a == 0) | (b == 0), 0.0).otherwise(100 * near / (a + b - near))
