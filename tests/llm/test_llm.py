@@ -47,7 +47,9 @@ def test_join_is_brute_force(docs, k, percent):
     assert Counter(map(tuple, partenum.join(docs, k, percent).collect())) == want
 
 
-def test_removed_repeats_are_brute_force(docs):
+@pytest.mark.parametrize("most", [debruijn.SHARED_SEEDS, 0])
+def test_removed_repeats_are_brute_force(docs, monkeypatch, most):
+    monkeypatch.setattr(debruijn, "SHARED_SEEDS", most)
     seen, want = {}, Counter()
     rows = [(i, t, (t or "").encode().split()) for i, t in _rows(docs)]
     for n, (i, t, w) in enumerate(rows):

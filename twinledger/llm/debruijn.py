@@ -4,12 +4,15 @@ An edge is a window of `width` words, from the node of its first width - 1 words
 last.  Only edges that occur more than once matter, and few do, so they are sought in two steps.
 Each window has a seed, the least hash among its runs of `seed` words; equal windows have equal
 seeds, and neighbouring windows mostly the same one, so the seeds are a small part of the windows.
-Windows whose seed occurs once are left.  The rest meet by a 128-bit hash of all their words: the
-first in (document, position) is the source, the others are repeats.
-
-A batch settles its own repeats and sends only the first of each window, so a passage in a third of
-all documents costs a row for each batch.  A repeat keeps its source coordinates.  Where the next
-window's source is the next window of the same source, the two edges are on one nonbranching path:
+Windows whose seed occurs once are left.  Of the rest, consecutive windows of one seed are a stretch,
+a path of at most `width` edges, and stretches meet by a 128-bit hash of all their words: the first
+in (document, position) is the source, the others are repeats.  Only the first of equal stretches
+has windows that may come first anywhere, so its windows alone meet those of other stretches, by a
+96-bit hash.  Stretches make fewer rows, and any division into them gives the same repeats.
+
+A batch settles its own repeats and sends only the first of each stretch, so a passage in a third of
+all documents costs a few rows for each batch.  A repeat keeps its source coordinates.  Where the next
+stretch's source is what follows in the same source, the two are on one nonbranching path:
 such paths are compacted to spans, in the batch where it can be seen and then by a window over each
 document, and the spans join the documents whose words they remove.
 """
@@ -29,8 +32,8 @@ from twinledger.llm.stored import cut, repeated, small
 
 U = np.uint64
 SEED = 6
-#: Seeds that the driver hands to the tasks, 8 bytes each; with more of them, documents join them by a shuffle.
-SHARED_SEEDS = 1_000_000
+#: Seeds that the driver hands to the tasks, by 4 bytes each; with more of them, documents join them by a shuffle.
+SHARED_SEEDS = 2_000_000
 _TABLE = wordhash.byte_table(31, False)
 
 
@@ -74,9 +77,9 @@ def _seed_lists(width: int):
     return run
 
 
-def _windows(width: int, shared: np.ndarray | None):
-    """Windows whose seed is in shared, or if that is None among those that the row names: first ones
-    by hash, and spans of those repeated here."""
+def _stretches(width: int, shared: np.ndarray | None):
+    """Stretches whose seed is in shared (high halves of seeds), or if that is None among those that the row
+    names: the first of equal ones with the hashes of its windows, and spans of those repeated here."""
 
     def of_row(d: np.ndarray, seed: np.ndarray) -> np.ndarray:
         return wordhash.mix(seed ^ wordhash.mix(d.astype(U) + U(1)))
@@ -94,53 +97,115 @@ def _windows(width: int, shared: np.ndarray | None):
             for row, to, buf, offs in wordhash.texts(batch.column("text")):
                 found = wordhash.Words(buf, offs, _TABLE)
                 start, seed, _ = _seeds(found, width)
-                if not len(start):
+                if not len(start) or not len(known):
                     continue
                 d = np.searchsorted(found.first, start, "right") - 1
-                if not len(known):
-                    continue
-                sought = seed if shared is not None else of_row(row + d, seed)
+                sought = (seed >> U(32)).astype(np.uint32) if shared is not None else of_row(row + d, seed)
                 hit = known[np.minimum(np.searchsorted(known, sought), len(known) - 1)] == sought
-                start, d = start[hit], d[hit]
+                start, d, seed = start[hit], d[hit], seed[hit]
                 one, _ = found.runs(width, 33)
                 two, _ = found.runs(width, 34)
-                parts.append((row + d, start - found.first[d], one[start], two[start]))
+                parts.append((row + d, start - found.first[d], seed, one[start], two[start]))
             if not parts:
                 continue
-            d, pos, one, two = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((pos, crcs[d], ids[d], ~null[d], two, one))
-            d, pos, one, two = d[order], pos[order], one[order], two[order]
-            fresh = np.ones(len(d), bool)
-            fresh[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-            group = np.flatnonzero(fresh)[np.cumsum(fresh) - 1] if len(d) else fresh
+            d, pos, seed, one, two = (np.concatenate(x) for x in zip(*parts))
+            if not len(d):
+                continue
+            head, n = _runs(d, pos, seed, width)
+            end = head + n - 1
+            first, last = (wordhash.mix(x[head] ^ wordhash.mix(x[end] + n.astype(U))) for x in (one, two))
+            packed = np.zeros(len(d), np.dtype([("one", "<u8"), ("two", "<u4")]))
+            packed["one"], packed["two"] = one, (two >> U(32)).astype(np.uint32)
+            d, pos = d[head], pos[head]
+            order = np.lexsort((pos, crcs[d], ids[d], ~null[d], last, first))
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (first[order][1:] != first[order][:-1]) | (last[order][1:] != last[order][:-1])
+            group = np.empty_like(order)  # of each stretch, the first that is equal to it
+            group[order] = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
+            new = np.sort(order[fresh])
             same = (ids[d] == ids[d[group]]) & (null[d] == null[d[group]]) & (crcs[d] == crcs[d[group]]) & (pos == pos[group])
-            again = ~fresh & ~same
-            yield _rows(docs, crcs, d[fresh], pos[fresh], np.ones(fresh.sum(), np.int64), one[fresh], two[fresh], None, None)
+            yield _rows(docs, crcs, d[new], pos[new], n[new], first[new], last[new], _binary(packed, head[new], n[new]), None, None)
             # compaction of what is settled here: neighbours with neighbouring sources
-            x = np.flatnonzero(again)
-            x = x[np.lexsort((pos[x], d[x]))]
+            x = np.flatnonzero(~same)
             g = group[x]
             on = np.zeros(len(x), bool)
-            on[1:] = (d[x][1:] == d[x][:-1]) & (pos[x][1:] == pos[x][:-1] + 1) & (d[g][1:] == d[g][:-1]) & (pos[g][1:] == pos[g][:-1] + 1)
-            head = np.flatnonzero(~on)
-            size = np.diff(np.append(head, len(x)))
-            x, g = x[head], g[head]
-            yield _rows(docs, crcs, d[x], pos[x], size, None, None, d[g], pos[g])
+            on[1:] = (d[x][1:] == d[x][:-1]) & (pos[x][1:] == (pos + n)[x][:-1]) & (d[g][1:] == d[g][:-1]) & (pos[g][1:] == (pos + n)[g][:-1])
+            path = np.flatnonzero(~on)
+            size = np.add.reduceat(n[x], path) if len(x) else n[x]
+            x, g = x[path], g[path]
+            yield _rows(docs, crcs, d[x], pos[x], size, None, None, None, d[g], pos[g])
 
     return run
 
 
+def _runs(d: np.ndarray, pos: np.ndarray, seed: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """First index and length of each stretch: consecutive windows of one seed, at most `width` of them."""
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (pos[1:] != pos[:-1] + 1) | (seed[1:] != seed[:-1])
+    at = np.flatnonzero(new)
+    along = np.arange(len(d)) - np.repeat(at, np.diff(np.append(at, len(d))))
+    head = np.flatnonzero(along % width == 0)
+    return head, np.diff(np.append(head, len(d)))
+
+
+def _binary(packed: np.ndarray, head: np.ndarray, n: np.ndarray) -> pa.Array:
+    """packed[h : h + k] for each h of head and k of n, as binary values."""
+    ends = np.concatenate([[0], np.cumsum(n)])
+    index = np.arange(ends[-1]) - np.repeat(ends[:-1] - head, n)
+    offsets = (ends * packed.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(packed[index].tobytes())])
+
+
+def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of stretches: those with windows become a row for each window, the others, spans, stay as they are."""
+    for batch in batches:
+        columns = [batch.column(c) for c in ("doc_id", "crc", "pos", "n", "src_id", "src_pos")]
+        held = np.asarray(batch.column("windows").is_valid())
+        spans = [c.filter(pa.array(~held)) for c in columns]
+        nothing = pa.nulls(len(spans[0]), pa.int64())
+        yield pa.RecordBatch.from_arrays([*spans[:4], nothing, nothing, *spans[4:]], _EXPANDED)
+        packed = batch.column("windows").filter(pa.array(held))
+        each = np.frombuffer(b"".join(packed.to_pylist()), np.dtype([("one", "<u8"), ("two", "<u4")]))
+        at = np.flatnonzero(held)
+        n = columns[3].to_numpy()[at]
+        row = np.repeat(at, n)
+        pos = columns[2].to_numpy()[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        for i in range(0, len(row), _OUT):
+            part = slice(i, i + _OUT)
+            take, w = pa.array(row[part]), each[part]
+            none = pa.nulls(len(take), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [columns[0].take(take), columns[1].take(take), pa.array(pos[part].astype(np.int32)), pa.array(np.ones(len(take), np.int64)), wordhash.signed(w["one"]), pa.array(w["two"].astype(np.int64)), none, none.cast(pa.int32())], _EXPANDED
+            )
+
+
+_OUT = 50_000
+_EXPANDED = ["doc_id", "crc", "pos", "n", "one", "two", "src_id", "src_pos"]
 _ROW = "doc_id long, crc long, pos int, n long, one long, two long, src_id long, src_pos int"
 
 
-def _rows(docs: pa.Array, crcs: np.ndarray, d, pos, n, one, two, src, src_pos) -> pa.RecordBatch:
+def _rows(docs: pa.Array, crcs: np.ndarray, d, pos, n, one, two, windows, src, src_pos) -> pa.RecordBatch:
     def longs(x):
         return pa.nulls(len(d), pa.int64()) if x is None else wordhash.signed(x)
 
     source = pa.nulls(len(d), pa.int64()) if src is None else docs.take(pa.array(src))
     at = pa.nulls(len(d), pa.int32()) if src is None else pa.array(src_pos.astype(np.int32))
-    columns = [docs.take(pa.array(d)), pa.array(crcs[d]), pa.array(pos.astype(np.int32)), pa.array(n), longs(one), longs(two), source, at]
-    return pa.RecordBatch.from_arrays(columns, ["doc_id", "crc", "pos", "n", "one", "two", "src_id", "src_pos"])
+    windows = pa.nulls(len(d), pa.binary()) if windows is None else windows
+    columns = [docs.take(pa.array(d)), pa.array(crcs[d]), pa.array(pos.astype(np.int32)), pa.array(n), longs(one), longs(two), source, at, windows]
+    return pa.RecordBatch.from_arrays(columns, [*_EXPANDED, "windows"])
+
+
+def _sourced(found: DataFrame) -> DataFrame:
+    """found with the place where the same (one, two) comes first as source, null for that place itself.
+
+    Spans that are settled have no hash and keep their source: a hash of their own deals them out.
+    """
+    key = F.coalesce("one", F.xxhash64("doc_id", "crc", "pos"))
+    first = Window.partitionBy("key", "two").orderBy("doc_id", "crc", "pos")
+    met = found.withColumn("key", key).withColumn("source", F.first(F.struct("doc_id", "crc", "pos")).over(first))
+    own = F.col("source.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("source.crc") == F.col("crc")) & (F.col("source.pos") == F.col("pos"))
+    src = {c: F.when(F.col("two").isNull(), F.col(c)).when(~own, F.col(f"source.{f}")) for c, f in (("src_id", "doc_id"), ("src_pos", "pos"))}
+    return met.withColumns(src).drop("key", "source")
 
 
 def repeated_spans(docs: DataFrame, width: int = 20) -> DataFrame:
@@ -151,21 +216,16 @@ def repeated_spans(docs: DataFrame, width: int = 20) -> DataFrame:
     seeds = own.mapInArrow(_seed_lists(width), "doc_id long, crc long, seeds array<long>")
     shared = cut(repeated(seeds, "seeds", size // 40))
     if shared.count() <= SHARED_SEEDS:
-        known = np.sort(np.array([r[0] for r in shared.collect()], dtype=np.int64).view(U))
-        found = own.mapInArrow(_windows(width, known), _ROW)
+        halves = shared.select(F.shiftrightunsigned("hash", 32).alias("half")).distinct().toArrow()
+        known = np.sort(halves.column("half").to_numpy().astype(np.uint32))
+        found = own.mapInArrow(_stretches(width, known), f"{_ROW}, windows binary")
     else:
         each = seeds.select(F.col("doc_id").alias("of"), F.col("crc").alias("of_crc"), F.explode(F.array_distinct("seeds")).alias("hash"))
         named = each.join(shared, "hash", "left_semi").groupBy("of", "of_crc").agg(F.collect_set("hash").alias("seeds"))
         both = own.join(named, own.doc_id.eqNullSafe(named["of"]) & (own.crc == named["of_crc"]))
-        found = both.select("doc_id", "crc", "text", "seeds").mapInArrow(_windows(width, None), _ROW)
-    # settled spans have no hash: a hash of their own deals them out
-    key = F.coalesce("one", F.xxhash64("doc_id", "crc", "pos"))
-    first = Window.partitionBy("key", "two").orderBy("doc_id", "crc", "pos")
-    source = F.first(F.struct("doc_id", "crc", "pos")).over(first)
-    met = found.select(key.alias("key"), "two", "doc_id", "crc", "pos", "n", "src_id", "src_pos").withColumn("source", source)
-    own_source = F.col("two").isNotNull() & F.col("source.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("source.crc") == F.col("crc")) & (F.col("source.pos") == F.col("pos"))
-    src = [F.when(F.col("two").isNull(), F.col(c)).otherwise(F.col(f)).alias(c) for c, f in (("src_id", "source.doc_id"), ("src_pos", "source.pos"))]
-    repeats = met.where(~own_source).select("doc_id", "crc", "pos", "n", *src)
+        found = both.select("doc_id", "crc", "text", "seeds").mapInArrow(_stretches(width, None), f"{_ROW}, windows binary")
+    stretches = _sourced(found).withColumn("windows", F.when(F.col("src_pos").isNull(), F.col("windows")))
+    repeats = _sourced(stretches.mapInArrow(_expand, _ROW)).where("src_pos is not null")
     along = Window.partitionBy("doc_id", "crc").orderBy("pos", "n")
     last = F.lag(F.struct((F.col("pos") + F.col("n")).alias("pos"), "src_id", (F.col("src_pos") + F.col("n")).alias("src_pos"))).over(along)
     joins = F.coalesce((last["pos"] == F.col("pos")) & last["src_id"].eqNullSafe(F.col("src_id")) & (last["src_pos"] == F.col("src_pos")), F.lit(False))
