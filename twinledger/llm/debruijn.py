@@ -106,34 +106,39 @@ def _stretches(width: int, shared: np.ndarray | None):
                 one, _ = found.runs(width, 33)
                 two, _ = found.runs(width, 34)
                 parts.append((row + d, start - found.first[d], seed, one[start], two[start]))
-            if not parts:
-                continue
-            d, pos, seed, one, two = (np.concatenate(x) for x in zip(*parts))
-            if not len(d):
-                continue
-            head, n = _runs(d, pos, seed, width)
-            end = head + n - 1
-            first, last = (wordhash.mix(x[head] ^ wordhash.mix(x[end] + n.astype(U))) for x in (one, two))
-            packed = np.zeros(len(d), np.dtype([("one", "<u8"), ("two", "<u4")]))
-            packed["one"], packed["two"] = one, (two >> U(32)).astype(np.uint32)
-            d, pos = d[head], pos[head]
-            order = np.lexsort((pos, crcs[d], ids[d], ~null[d], last, first))
-            fresh = np.ones(len(order), bool)
-            fresh[1:] = (first[order][1:] != first[order][:-1]) | (last[order][1:] != last[order][:-1])
-            group = np.empty_like(order)  # of each stretch, the first that is equal to it
-            group[order] = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-            new = np.sort(order[fresh])
-            same = (ids[d] == ids[d[group]]) & (null[d] == null[d[group]]) & (crcs[d] == crcs[d[group]]) & (pos == pos[group])
-            yield _rows(docs, crcs, d[new], pos[new], n[new], first[new], last[new], _binary(packed, head[new], n[new]), None, None)
-            # compaction of what is settled here: neighbours with neighbouring sources
-            x = np.flatnonzero(~same)
-            g = group[x]
-            on = np.zeros(len(x), bool)
-            on[1:] = (d[x][1:] == d[x][:-1]) & (pos[x][1:] == (pos + n)[x][:-1]) & (d[g][1:] == d[g][:-1]) & (pos[g][1:] == (pos + n)[g][:-1])
-            path = np.flatnonzero(~on)
-            size = np.add.reduceat(n[x], path) if len(x) else n[x]
-            x, g = x[path], g[path]
-            yield _rows(docs, crcs, d[x], pos[x], size, None, None, None, d[g], pos[g])
+                if sum(len(x[0]) for x in parts) >= _SETTLED:
+                    yield from settle(docs, crcs, ids, null, parts)
+                    parts = []
+            if parts:
+                yield from settle(docs, crcs, ids, null, parts)
+
+    def settle(docs, crcs, ids, null, parts) -> Iterator[pa.RecordBatch]:
+        d, pos, seed, one, two = (np.concatenate(x) for x in zip(*parts))
+        if not len(d):
+            return
+        head, n = _runs(d, pos, seed, width)
+        end = head + n - 1
+        first, last = (wordhash.mix(x[head] ^ wordhash.mix(x[end] + n.astype(U))) for x in (one, two))
+        packed = np.zeros(len(d), np.dtype([("one", "<u8"), ("two", "<u4")]))
+        packed["one"], packed["two"] = one, (two >> U(32)).astype(np.uint32)
+        d, pos = d[head], pos[head]
+        order = np.lexsort((pos, crcs[d], ids[d], ~null[d], last, first))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (first[order][1:] != first[order][:-1]) | (last[order][1:] != last[order][:-1])
+        group = np.empty_like(order)  # of each stretch, the first that is equal to it
+        group[order] = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
+        new = np.sort(order[fresh])
+        same = (ids[d] == ids[d[group]]) & (null[d] == null[d[group]]) & (crcs[d] == crcs[d[group]]) & (pos == pos[group])
+        yield _rows(docs, crcs, d[new], pos[new], n[new], first[new], last[new], _binary(packed, head[new], n[new]), None, None)
+        # compaction of what is settled here: neighbours with neighbouring sources
+        x = np.flatnonzero(~same)
+        g = group[x]
+        on = np.zeros(len(x), bool)
+        on[1:] = (d[x][1:] == d[x][:-1]) & (pos[x][1:] == (pos + n)[x][:-1]) & (d[g][1:] == d[g][:-1]) & (pos[g][1:] == (pos + n)[g][:-1])
+        path = np.flatnonzero(~on)
+        size = np.add.reduceat(n[x], path) if len(x) else n[x]
+        x, g = x[path], g[path]
+        yield _rows(docs, crcs, d[x], pos[x], size, None, None, None, d[g], pos[g])
 
     return run
 
@@ -179,6 +184,8 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+#: Windows that are settled together, and rows in one batch of windows: they bound a task's memory.
+_SETTLED = 400_000
 _OUT = 50_000
 _EXPANDED = ["doc_id", "crc", "pos", "n", "one", "two", "src_id", "src_pos"]
 _ROW = "doc_id long, crc long, pos int, n long, one long, two long, src_id long, src_pos int"
