@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinledger.llm import wordhash
-from twinledger.llm.stored import cut, repeated, small
+from twinledger.llm.stored import BROADCAST_ROWS, cut, repeated
 
 U = np.uint64
 SEED = 6
@@ -241,23 +241,35 @@ def repeated_spans(docs: DataFrame, width: int = 20) -> DataFrame:
     return path.groupBy("doc_id", "crc", "path").agg(F.min("pos").alias("pos"), F.sum("n").alias("n"), F.min_by("src_id", "pos").alias("src_id"), F.min("src_pos").alias("src_pos")).drop("path")
 
 
-def _kept(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for i in range(0, whole.num_rows, 500):
+            batch = whole.slice(i, 500)
             spans, n, gone, sha, kept = batch.column("spans").to_pylist(), [], [], [], []
             for text, cover in zip(batch.column("text").to_pylist(), spans):
                 words = (text or "").encode().split()
                 n.append(len(words))
-                for pos, count in sorted(((s["pos"], s["n"]) for s in cover or ()), reverse=True):
-                    for i in range(pos, pos + count + width - 1):
-                        words[i] = None
-                left = [w for w in words if w is not None]
-                gone.append(n[-1] - len(left))
-                kept.append(b" ".join(left))
-                sha.append(hashlib.sha256(kept[-1]).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha), pa.array([k.decode() for k in kept], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "text"])
+                for s in sorted(cover or (), key=lambda s: s["pos"], reverse=True):
+                    del words[s["pos"] : s["end"]]
+                gone.append(n[-1] - len(words))
+                left = b" ".join(words)
+                sha.append(hashlib.sha256(left).hexdigest())
+                kept.append(left.decode())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "text"])
 
-    return run
+
+def covers(spans: DataFrame, width: int = 20) -> DataFrame:
+    """(of, of_crc, spans): for each document the words, from pos up to end, that spans of windows cover.
+
+    Spans that overlap or meet are one, whatever their sources.  A window over each document, as
+    repeated_spans ends with, so there is no further shuffle.
+    """
+    along = Window.partitionBy("doc_id", "crc").orderBy("pos", "n").rowsBetween(Window.unboundedPreceding, -1)
+    here = spans.select("doc_id", "crc", "pos", "n", (F.col("pos") + F.col("n") + width - 1).alias("end"))
+    here = here.withColumn("apart", F.when(F.col("pos") <= F.max("end").over(along), 0).otherwise(1))
+    here = here.withColumn("part", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    each = here.groupBy("doc_id", "crc", "part").agg(F.min("pos").alias("pos"), F.max("end").alias("end"))
+    return each.groupBy(F.col("doc_id").alias("of"), F.col("crc").alias("of_crc")).agg(F.collect_list(F.struct("pos", "end")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
@@ -268,8 +280,9 @@ def remove_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
     texts have no words.  A row that repeats both doc_id and text stands at the same place as the
     other and gets the same result; rows that share only a doc_id follow in the order of their CRC-32.
     """
-    spans = cut(repeated_spans(docs, width).groupBy("doc_id", "crc").agg(F.collect_list(F.struct("pos", "n")).alias("spans")))
-    spans = small(spans.select(F.col("doc_id").alias("of"), F.col("crc").alias("of_crc"), "spans"))
+    spans = cut(covers(repeated_spans(docs, width), width))
+    if (spans.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_ROWS:
+        spans = F.broadcast(spans)
     own = _order(docs)
     both = own.join(spans, own.doc_id.eqNullSafe(spans["of"]) & (own.crc == spans["of_crc"]), "left")
-    return both.select("doc_id", "text", "spans").mapInArrow(_kept(width), "doc_id long, n_words long, n_removed long, kept_sha256 string, text string")
+    return both.select("doc_id", "text", "spans").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_sha256 string, text string")
