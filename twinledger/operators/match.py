@@ -11,6 +11,8 @@ from twinledger.functions.text import round2
 from twinledger.plans.config import DEFAULT, Config
 
 EPS = 0.005
+#: Tokens of a party that are compared before all of them are.
+FIRST_TOKENS = 4
 #: A larger batch of requests meets the parties in a shuffle on the length bucket.
 BROADCAST_REQUESTS = 20_000
 
@@ -110,6 +112,11 @@ def matches(pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:
         counted = pairs.withColumn("edits", edits)
         staged = counted.withColumn("levenshtein", F.when(F.col("edits") < 0, F.lit(0.0)).otherwise(round2((1 - F.col("edits") / longest) * 100)))
     a, b = F.size("q_tokens"), F.size("tokens")
+    if not config.weighted_can_fire:
+        # all but the first few tokens are taken as near: most pairs end here, at a fraction of the comparisons
+        some = S.near_tokens(F.slice("tokens", 1, FIRST_TOKENS), F.col("q_tokens")) + F.greatest(b - FIRST_TOKENS, F.lit(0))
+        least = config.direct - 2 * EPS
+        staged = staged.where((F.col("levenshtein") >= config.direct) | ((a == 0) & (b == 0)) | ((100 + least) * F.least(a, some) >= least * (a + b) - 1e-6))
     near = F.least(a, S.near_tokens(F.col("tokens"), F.col("q_tokens")))
     bound = F.when((a == 0) & (b == 0), 100.0).when((a == 0) | (b == 0), 0.0).otherwise(100 * near / (a + b - near))
     sure = F.col("levenshtein") >= config.direct
