@@ -39,6 +39,8 @@ LONGEST = 16
 SAMPLE_DOCS, CLEAN_WORDS, LANDMARKS = 6_000, 20_000, 160
 #: Toxic documents that make a word a witness by themselves, where clean ones hardly have it.
 SURE = 6
+#: Words whose subsequence vectors are held at once in training.
+_BLOCK = 128
 _FOLD = wordhash.byte_table(51, True)
 #: Characters of the kernel: letters, bytes beyond ASCII in four classes, digits; 0 only takes room.
 _CODE = np.zeros(256, dtype=np.int64)
@@ -144,7 +146,9 @@ def fit(witnesses: list[bytes], clean: list[bytes]) -> Machine:
     root = basis[:, good] / np.sqrt(values[good])  # Nystroem: features are kernel values times root
 
     def train(negatives: list[bytes]) -> Machine:
-        rows = vectors(witnesses + negatives) @ landmarks.T @ root
+        words, project = witnesses + negatives, landmarks.T @ root
+        # 32,768 numbers a word: in blocks, so that the driver holds few of them at once
+        rows = np.vstack([vectors(words[i : i + _BLOCK]) @ project for i in range(0, len(words), _BLOCK)])
         y = np.append(np.ones(len(witnesses)), -np.ones(len(negatives)))
         w, bias = _svm(rows, y)
         return Machine(landmarks.T @ (root @ w), bias, 1.0, 0.0)
