@@ -1,6 +1,8 @@
 import hashlib
+import math
 import re
 from collections import Counter
+from decimal import Decimal
 
 import pytest
 
@@ -103,6 +105,36 @@ def test_replication(docs):
     assert [tuple(r) for r in out] == [tuple(r) for r in mixing.replicate(docs.repartition(3), {"hot": 1.0}).collect()]
 
 
+def test_replication_counts(spark):
+    # sources 0 to 3 have 20 rows each, and weights that give these rates; source 4 only makes up the total
+    wanted, each = [0.5, 50.0, 800.0, 5000.0], 20
+    total = int(sum(wanted) * each)
+    docs = spark.createDataFrame([(i, "x", str(min(i // each, len(wanted)))) for i in range(total)], "doc_id long, text string, source string")
+    out = mixing.replicate(docs, {str(i): r * each for i, r in enumerate(wanted)}).collect()
+    got = {r.doc_id: r for r in out}
+    n = Counter(r.doc_id for r in out)
+    assert len({(r.doc_id, r.copy) for r in out}) == len(out)
+
+    def inverted(rate, u):
+        p = upto = (-Decimal(rate)).exp()
+        k = 0
+        while upto <= u:
+            k += 1
+            p = p * Decimal(rate) / k
+            upto += p
+        return k
+
+    for i, rate in enumerate(wanted):
+        parts, counts = max(1, math.ceil(rate / mixing.MOST_RATE)), []
+        for d in range(i * each, (i + 1) * each):
+            names = [f"17|{d}"] + [f"17|{d}|{k}" for k in range(1, parts)]
+            draws = [Decimal(int(hashlib.md5(x.encode()).hexdigest()[:13], 16)) / 2**52 for x in names]
+            counts.append(sum(inverted(rate / parts, u) for u in draws))
+            r = got.get(d)
+            assert n[d] == counts[-1] and (r is None or r.n_copies == n[d] and abs(r.rate - rate) < 1e-6)
+        assert abs(sum(counts) - rate * each) <= 5 * (rate * each) ** 0.5 and len(set(counts)) > 1
+
+
 def test_decontamination(spark, docs):
     words = [f"w{i * 7919 % 1000}" for i in range(400)]
     bench = spark.createDataFrame([(1, " ".join(words[205:245])), (2, "never seen words here at all"), (3, None), (4, "ONE, two!")], "item_id long, text string")

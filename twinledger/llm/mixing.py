@@ -2,8 +2,10 @@
 
 A source with n rows and target weight w gets the mean repetition rate w * total / n.  Each document
 draws its count from the Poisson distribution of that mean by inversion of a uniform number that a
-hash of seed and document gives; so any task, and any retry, draws the same.  A document is repeated
-by its count, and the copies are sorted by another hash: a global shuffle.
+hash of seed and document gives; so any task, and any retry, draws the same.  A mean above MOST_RATE
+is drawn as a sum of equal parts, each with a hash of its own: the sum of Poisson counts is Poisson,
+and exp of minus a part is far from the least double.  A document is repeated by its count, and the
+copies are sorted by another hash: a global shuffle.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from twinledger.llm.stored import cut, small
 SEED = 17
 #: Of n ** POWER, for sources without a target weight of their own.
 POWER = 0.5
+#: Mean of one inversion; exp(-rate) loses digits from 708 on, and is 0 from 746.
+MOST_RATE = 500.0
 
 
 def uniform(*parts: Column, seed: int = SEED) -> Column:
@@ -25,7 +29,7 @@ def uniform(*parts: Column, seed: int = SEED) -> Column:
 
 
 def steps(rate: Column) -> Column:
-    """P(count <= k) for k = 0, 1, ... as far as a double can tell them from 1."""
+    """P(count <= k) for k = 0, 1, ... as far as a double can tell them from 1. rate: MOST_RATE at most."""
     most = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
     start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("all"))
 
@@ -37,7 +41,7 @@ def steps(rate: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """(source, n_rows, rate, steps) for each source; null is a source of its own, named ''."""
+    """(source, n_rows, rate, parts, steps) for each source, steps of one part of the rate; null is a source of its own, named ''."""
     n = docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count("*").alias("n_rows"))
     if weights is None:
         weight = F.pow(F.col("n_rows").cast("double"), F.lit(POWER))
@@ -48,7 +52,8 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame
     share = F.round(F.col("weight") * 2**20).cast("long")
     rows, shares = n.agg(F.sum("n_rows"), F.sum(share)).first()
     rate = share / F.lit(max(1, shares or 0)) * F.lit(rows or 0) / F.col("n_rows")
-    return n.select("source", "n_rows", rate.alias("rate")).withColumn("steps", steps(F.col("rate")))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / MOST_RATE)).cast("int")
+    return n.select("source", "n_rows", rate.alias("rate")).withColumn("parts", parts).withColumn("steps", steps(F.col("rate") / F.col("parts")))
 
 
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED) -> DataFrame:
@@ -60,9 +65,13 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, seed: in
     """
     names = ("rate", "n_copies", "copy", "position")
     rows = docs.drop(*names)
-    known = rates(rows, weights).drop("n_rows").withColumnRenamed("source", "_source")
+    known = rates(rows, weights).drop("n_rows").withColumnsRenamed({"source": "_source", "parts": "_parts", "steps": "_steps"})
     drawn = rows.join(small(cut(known)), F.coalesce(F.col("source"), F.lit("")) == F.col("_source"))
-    u = uniform(F.col("doc_id"), seed=seed)
-    drawn = drawn.withColumn("_u", u).withColumn("n_copies", F.size(F.filter("steps", lambda p: p <= F.col("_u"))).cast("long")).where("n_copies > 0").drop("steps", "_source", "_u")
+    drawn = drawn.withColumn("_u", uniform(F.col("doc_id"), seed=seed))
+    first = F.size(F.filter("_steps", lambda p: p <= F.col("_u"))).cast("long")
+    other = F.transform(F.sequence(F.lit(1), F.col("_parts") - 1), lambda k: uniform(F.col("doc_id"), k, seed=seed))
+    others = F.aggregate(other, F.lit(0).cast("long"), lambda n, v: n + F.size(F.filter("_steps", lambda p: p <= v)))
+    count = first + F.when(F.col("_parts") > 1, others).otherwise(F.lit(0))
+    drawn = drawn.withColumn("n_copies", count).where("n_copies > 0").drop("_steps", "_parts", "_source", "_u")
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)))
     return copies.withColumn("position", uniform(F.col("doc_id"), F.col("copy"), seed=seed + 1)).select(*rows.columns, *names).orderBy("position", "doc_id", "copy")
