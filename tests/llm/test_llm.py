@@ -87,6 +87,17 @@ def test_differencing_is_tight():
     assert sorted(np.bincount(places[:, 0], sizes, 8).astype(int)) == sorted(sums.tolist()) and sums.max() - sums.min() <= 2
 
 
+def test_one_row_of_each_component_stays(spark):
+    words = [f"w{i * 7919 % 1000}" for i in range(400)]
+    x, y, z, near = (" ".join(words[a : a + b]) for a, b in ((0, 80), (100, 80), (200, 80), (0, 79)))
+    rows = [(1, x), (5, x), (5, y), (None, x), (7, near), (8, z), (8, z), (8, z), (9, ""), (9, ""), (None, None), (None, "p q r s t u"), (None, "p q r s t u")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    out = partenum.keep_one(docs)
+    assert out.columns == docs.columns
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=key) == sorted([(1, x), (5, y), (8, z), (9, ""), (9, ""), (None, None), (None, "p q r s t u")], key=key)
+
+
 def test_statistics_and_list(spark, docs):
     for r in quality.statistics(docs).collect():
         w = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
