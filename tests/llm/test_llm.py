@@ -8,6 +8,7 @@ import pytest
 
 pytest.importorskip("twinledger.llm.queries")
 import numpy as np
+import pyarrow as pa
 
 from twinledger.llm import debruijn, decontaminate, mixing, pagetext, partenum, pii, quality, sharding, toxicity, warc
 
@@ -181,6 +182,17 @@ def test_string_kernel():
     assert np.allclose(v @ v.T, [[brute(a, b) for b in ("banana", "bandana", "xyz")] for a in ("banana", "bandana", "xyz")])
 
 
+@pytest.mark.parametrize("length", range(3, 21))
+def test_spelt_out_runs_are_whole(length):
+    text = "start " + " ".join("abcdefghijklmnopqrstuvwxyz"[:length]) + " end"
+    (_, _, buf, offs), = toxicity.wordhash.texts(pa.array([text]))
+    found = toxicity._strings(toxicity.wordhash.Words(buf, offs, toxicity._FOLD))
+    runs = [(a, b) for a, b in zip(*(x.tolist() for x in found)) if " " in text[a:b]]
+    assert len(set(runs)) == len(runs) and all(len(text[a:b].split()) == min(length, 8) for a, b in runs)
+    assert {c for a, b in runs for c in text[a:b].split()} == set("abcdefghijklmnopqrstuvwxyz"[:length])
+    assert min(runs)[0] == 6 and max(b for _, b in runs) == len(text) - 4
+
+
 def test_pages(spark):
     page = "<html><nav><a href=x>Menu</a></nav><article><h1>T &amp; U</h1><p>one\n two<br>three<p>four</article><footer>f</footer></html>"
     pages = spark.createDataFrame([(1, "http://a/x", page), (2, None, None), (3, "http://a/y", "")], "page_id long, url string, html string")

@@ -185,7 +185,8 @@ def _strings(found: wordhash.Words) -> tuple[np.ndarray, np.ndarray]:
             while b + 1 < len(start) and near[b + 1]:
                 b += 1
             if b - a + 1 >= ORDER:
-                for lo in range(a, max(a, b - LONGEST // 2 + 1) + 1, LONGEST // 4):
+                last = max(a, b - LONGEST // 2 + 1)
+                for lo in [*range(a, last, LONGEST // 4), last]:
                     hi = min(b, lo + LONGEST // 2 - 1)
                     pieces.append((start[lo : lo + 1], end[hi : hi + 1]))
     return np.concatenate([p[0] for p in pieces]), np.concatenate([p[1] for p in pieces])
