@@ -199,6 +199,22 @@ def test_pages(spark):
     assert {r.page_id: r.text for r in pagetext.extract(pages).collect()} == {1: "T & U\none two three\nfour", 2: "", 3: ""}
 
 
+@pytest.mark.parametrize("part", [200_000, 20])
+def test_pages_without_a_main_region(spark, monkeypatch, part):
+    monkeypatch.setattr(pagetext, "PART_TOKENS", part)
+    many = lambda name, n=12: " ".join(f"{name}{i}" for i in range(n))
+    frame, both = many("frame"), many("both")
+    bodies = {
+        1: [many("copy", 30)], 2: [many("copy", 30)],
+        3: [many("near", 30) + " x"], 4: [many("near", 30) + " y"], 5: [many("near", 30) + " z"],
+        6: [both, many("six", 20)], 7: [both, many("seven", 20)],
+        8: [frame, many("eight", 30)], 9: [frame, many("nine", 30)], 10: [frame, many("ten", 30)],
+    }
+    rows = [(i, f"http://h/{i}", "".join(f"<p>{t}</p>" for t in b)) for i, b in bodies.items()]
+    got = {r.page_id: r.text for r in pagetext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "\n".join(t for t in b if t != frame) for i, b in bodies.items()}
+
+
 def test_warc_round_trip():
     headers, block = warc.response("http://a/", "<p>x &lt; y<a href='/z'>z</a>", "1")
     (h, b), = warc.parse(warc.serialize(list(headers.items()), block))

@@ -6,12 +6,14 @@ region.  Blocks outside the main region, and link-only blocks inside it, are in
 
 The tokens of doubtful blocks of a host's pages are concatenated, a separator after each page, and
 their suffixes sorted by prefix doubling.  A run of suffixes with RUN_TOKENS equal first tokens that
-comes from two pages or more is boilerplate: its tokens are covered.  A large host is dealt into
+comes from pages of two bodies or more is boilerplate for link-only blocks, of MANY bodies for open
+ones: its tokens are covered.  Pages of equal bodies count once.  A large host is dealt into
 parts of about PART_TOKENS; what a part leaves uncovered is compared across the host's parts by the
 hash of each RUN_TOKENS tokens, so nothing that two pages share is missed.
 
 Text: main blocks but covered link-only ones; on a page without a main region, doubtful blocks that
-are mostly uncovered, the unique runs of the page.
+are mostly uncovered, the unique runs of the page.  If covered blocks hold COPIED of a page's open
+characters, the page is a near copy of others and not a frame around a text: all its open blocks stay.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from twinledger.llm import wordhash
 from twinledger.llm.stored import cut, small
 
 RUN_TOKENS, PART_TOKENS = 8, 200_000
+MANY, COPIED = 3, 0.9
 MAIN, OPEN, LINKS = 0, 1, 2
 
 _SILENT = frozenset("script style noscript template svg math iframe object canvas head title select textarea audio video".split())
@@ -151,15 +154,16 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "row_key", "host", "has_main", "zones", "texts", "n_tokens"])
 
 
-def covered(tokens: np.ndarray, page: np.ndarray, run: int = RUN_TOKENS) -> np.ndarray:
-    """Tokens inside a substring of `run` tokens that two pages have. page: of each token, ascending."""
+def covered(tokens: np.ndarray, page: np.ndarray, run: int = RUN_TOKENS, body: np.ndarray | None = None, many: int = 2) -> np.ndarray:
+    """Tokens inside a substring of `run` tokens that pages of `many` bodies have. page: of each token, ascending; body: of each token, by default the page."""
     out = np.zeros(len(tokens), dtype=bool)
     if len(tokens) < run:
         return out
     # a separator after each page, different from all else, so that no substring spans two pages
     ends = np.append(np.flatnonzero(page[1:] != page[:-1]) + 1, len(tokens))
     text = np.insert(np.unique(tokens, return_inverse=True)[1].astype(np.int64), ends, len(tokens) + np.arange(len(ends)))
-    owner = np.insert(page, ends, page[ends - 1])
+    body = page if body is None else body
+    owner = np.insert(body, ends, body[ends - 1])
     own = np.insert(np.arange(len(tokens)), ends, -1)
     rank, have = text, 1
     while have < run:  # rank by the first `have` tokens, doubled until `run`
@@ -168,10 +172,11 @@ def covered(tokens: np.ndarray, page: np.ndarray, run: int = RUN_TOKENS) -> np.n
         second[: len(rank) - step] = rank[step:]
         rank = np.unique(rank * (2 * len(text) + 2) + second + 1, return_inverse=True)[1]
         have += step
-    order = np.argsort(rank, kind="stable")  # the suffix array, as far as `run` tokens sort it
-    first = np.flatnonzero(np.append(True, rank[order][1:] != rank[order][:-1]))
-    least, most = np.minimum.reduceat(owner[order], first), np.maximum.reduceat(owner[order], first)
-    shared = np.repeat(least != most, np.diff(np.append(first, len(order))))
+    order = np.lexsort((owner, rank))  # the suffix array, as far as `run` tokens sort it
+    other = np.append(True, rank[order][1:] != rank[order][:-1])
+    first = np.flatnonzero(other)
+    owners = np.add.reduceat((other | np.append(True, owner[order][1:] != owner[order][:-1])).astype(np.int64), first)
+    shared = np.repeat(owners >= many, np.diff(np.append(first, len(order))))
     starts = own[order[shared]]
     starts = starts[starts >= 0]
     edge = np.zeros(len(tokens) + run + 1, dtype=np.int64)
@@ -191,42 +196,46 @@ def _token_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _host_part(table: pa.Table) -> pa.Table:
-    """Rows (host, row_key, at, text) of one part of a host to (host, row_key, at, covered)."""
+    """Rows (host, row_key, at, text, open, body) of one part of a host to (host, row_key, at, covered)."""
     table = table.sort_by([("row_key", "ascending"), ("at", "ascending")])
     hashes, of = _token_hashes(table.column("text").to_pylist())
     keys = table.column("row_key").to_numpy()
     page = np.cumsum(np.append(False, keys[1:] != keys[:-1])) if len(keys) else keys
-    cover = covered(hashes, page[of])
+    body, open_ = table.column("body").to_numpy(), table.column("open").to_numpy()
+    cover = covered(hashes, page[of], body=body[of])
+    if open_.any():
+        cover = np.where(open_[of], covered(hashes, page[of], body=body[of], many=MANY), cover)
     ends = np.searchsorted(of, np.arange(len(table) + 1))
     share = [bool(2 * cover[a:b].sum() >= b - a) for a, b in zip(ends, ends[1:])]
     return pa.table({"host": table.column("host"), "row_key": table.column("row_key"), "at": table.column("at"), "covered": pa.array(share, pa.bool_())})
 
 
-_GRAM = "host string, row_key long, at int, size int, low int, high int, gram long"
+_GRAM = "host string, row_key long, at int, size int, low int, high int, gram long, open boolean, body long"
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each page's doubtful blocks (host, row_key, ats, texts) to its runs: a row for each block that a
+    """Each page's doubtful blocks (host, row_key, body, ats, texts, opens) to its runs: a row for each block that a
     run touches, with the block's tokens and the first and last that the run covers."""
     for batch in batches:
         rows: list[tuple] = []
-        for h, k, ats, texts in zip(*(batch.column(c).to_pylist() for c in ("host", "row_key", "ats", "texts"))):
+        for h, k, body, ats, texts, opens in zip(*(batch.column(c).to_pylist() for c in ("host", "row_key", "body", "ats", "texts", "opens"))):
             hashes, of = _token_hashes(texts)
             ends = np.searchsorted(of, np.arange(len(texts) + 1))
             with np.errstate(over="ignore"):
                 for i in range(len(hashes) - RUN_TOKENS + 1):
                     gram = int(wordhash.mix((hashes[i : i + RUN_TOKENS] * wordhash.seeded(RUN_TOKENS, 42)).sum(keepdims=True))[0].view(np.int64))
                     for b in range(of[i], of[i + RUN_TOKENS - 1] + 1):
-                        rows.append((h, k, ats[b], int(ends[b + 1] - ends[b]), max(0, i - int(ends[b])), int(min(i + RUN_TOKENS, ends[b + 1]) - ends[b]) - 1, gram))
-        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
-        columns = [pa.array(x, kind) for x, kind in zip(zip(*rows) if rows else [()] * 7, kinds)]
-        yield pa.RecordBatch.from_arrays(columns, ["host", "row_key", "at", "size", "low", "high", "gram"])
+                        rows.append((h, k, ats[b], int(ends[b + 1] - ends[b]), max(0, i - int(ends[b])), int(min(i + RUN_TOKENS, ends[b + 1]) - ends[b]) - 1, gram, opens[b], body))
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64())
+        columns = [pa.array(x, kind) for x, kind in zip(zip(*rows) if rows else [()] * 9, kinds)]
+        yield pa.RecordBatch.from_arrays(columns, ["host", "row_key", "at", "size", "low", "high", "gram", "open", "body"])
 
 
 def boilerplate(parsed: DataFrame) -> DataFrame:
     """(row_key, at): doubtful blocks that are mostly covered by what the host's pages share."""
-    doubtful = parsed.where("n_tokens > 0").select("host", "row_key", F.posexplode(F.arrays_zip("zones", "texts")).alias("at", "block"))
-    doubtful = doubtful.where(f"block.zones <> {MAIN}").select("host", "row_key", "at", F.col("block.texts").alias("text"))
+    body = F.xxhash64(F.transform(F.filter(F.arrays_zip("zones", "texts"), lambda b: b["zones"] >= 0), lambda b: b["texts"]))
+    doubtful = parsed.where("n_tokens > 0").select("host", "row_key", "has_main", body.alias("body"), F.posexplode(F.arrays_zip("zones", "texts")).alias("at", "block"))
+    doubtful = doubtful.where(f"block.zones <> {MAIN}").select("host", "row_key", "at", F.col("block.texts").alias("text"), F.expr(f"block.zones = {OPEN} and not has_main").alias("open"), "body")
     parts = parsed.groupBy("host").agg(F.ceil(F.sum("n_tokens") / PART_TOKENS).cast("int").alias("parts"))
     large = cut(parts.where("parts > 1"))
     dealt = doubtful.join(small(large), "host", "left").withColumn("part", F.pmod(F.xxhash64("row_key"), F.coalesce("parts", F.lit(1))))
@@ -234,10 +243,10 @@ def boilerplate(parsed: DataFrame) -> DataFrame:
     found = seen.where("covered").select("row_key", "at")
     if large.isEmpty():
         return found.distinct()
-    pages = doubtful.join(small(large), "host").groupBy("host", "row_key").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("all"))
-    runs = pages.select("host", "row_key", F.col("all.at").alias("ats"), F.col("all.text").alias("texts")).mapInArrow(_grams, _GRAM)
-    shared = runs.groupBy("host", "gram").agg(F.min("row_key").alias("lo"), F.max("row_key").alias("hi")).where("lo < hi").select("host", "gram")
-    tokens = runs.join(small(cut(shared)), ["host", "gram"], "left_semi").select("row_key", "at", "size", F.explode(F.sequence("low", "high")).alias("token")).distinct()
+    pages = doubtful.join(small(large), "host").groupBy("host", "row_key", "body").agg(F.array_sort(F.collect_list(F.struct("at", "text", "open"))).alias("all"))
+    runs = pages.select("host", "row_key", "body", F.col("all.at").alias("ats"), F.col("all.text").alias("texts"), F.col("all.open").alias("opens")).mapInArrow(_grams, _GRAM)
+    shared = runs.groupBy("host", "gram").agg(F.countDistinct("body").alias("bodies")).where("bodies > 1")
+    tokens = runs.join(small(cut(shared)), ["host", "gram"]).where(f"not open or bodies >= {MANY}").select("row_key", "at", "size", F.explode(F.sequence("low", "high")).alias("token")).distinct()
     across = tokens.groupBy("row_key", "at", "size").agg(F.count("*").alias("n")).where("2 * n >= size").select("row_key", "at")
     return found.union(across).distinct()
 
@@ -246,7 +255,9 @@ def _texts(found: DataFrame, covers: DataFrame | None) -> DataFrame:
     at = F.lit(None).cast("array<int>") if covers is None else F.col("ats")
     both = found if covers is None else found.join(covers, "row_key", "left")
     all_ = F.transform(F.arrays_zip("zones", "texts"), lambda b, i: F.struct(b["zones"].alias("zone"), b["texts"].alias("text"), F.coalesce(F.array_contains(at, i), F.lit(False)).alias("covered")))
-    wanted = F.filter(all_, lambda b: (b["zone"] == MAIN) | (b["zone"] == LINKS) & ~b["covered"] | (b["zone"] == OPEN) & ~b["covered"] & ~F.col("has_main"))
+    size = lambda kept: F.aggregate(F.filter(all_, lambda b: (b["zone"] == OPEN) & kept(b)), F.lit(0), lambda n, b: n + F.length(b["text"]))
+    copied = F.lit(False) if covers is None else F.col("ats").isNotNull() & (size(lambda b: b["covered"]) >= COPIED * size(lambda b: F.lit(True)))
+    wanted = F.filter(all_, lambda b: (b["zone"] == MAIN) | (b["zone"] == LINKS) & ~b["covered"] | (b["zone"] == OPEN) & (~b["covered"] | copied) & ~F.col("has_main"))
     text = F.array_join(F.transform(wanted, lambda b: b["text"]), "\n")
     return both.withColumn("text", text).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
