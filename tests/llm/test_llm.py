@@ -164,6 +164,17 @@ def test_personal_data():
     assert right > 0.9 * sum(len(b) for _, b in held) and right > 0.9 * sum(map(len, found))
 
 
+@pytest.mark.parametrize("address", ["firstname.middlename.lastname-dept-of (at) a-host.example.org", "a.b [at] very-long-host-name-of-an-organisation.example.org", "a.b (at) long-host-name-of-some-organisation (dot) example (dot) org"])
+def test_windows_hold_long_addresses(address):
+    text = "some words " * 20 + address + " more words" * 20
+    at = text.index(address)
+    windows = pii._windows(text)
+    assert all(text[lo : lo + len(w)] == w for lo, w in windows) and any(lo <= at and at + len(address) <= lo + len(w) for lo, w in windows)
+    assert pii._is_cut("abcdef", 2, 4, 2, 6) and pii._is_cut("abcdef", 0, 4, 0, 4) and not pii._is_cut("ab cd", 3, 5, 3, 5)
+    assert all(pii._windows(("y" * 40 + "1" + "z" * 40 + " " * k + "1" * 50)[:n]) for n in range(41, 140) for k in (0, 1, 40))
+    assert [pii._windows(t) for t in ("", "no anchor")] == [[], []] and pii._windows("1" * 30_000)[-1][0] + pii.WINDOW >= 30_000
+
+
 def test_string_kernel():
     def brute(a, b):
         from itertools import combinations

@@ -6,7 +6,8 @@ cards grouped by dots.  It is trained here, in numpy, on labelled spans: by defa
 that a seeded generator writes, so it needs no corpus and is the same in every run.
 
 Every span of the four kinds holds a digit or an at sign, plain or in brackets; windows of WINDOW
-characters, half overlapping, cover REACH characters around each one.  All windows of all texts of a
+characters, half overlapping, cover REACH characters around each one and the tokens cut there; a span
+cut by its window is refused.  All windows of all texts of a
 batch are decoded by Viterbi; where windows disagree, the span farther from the ends of its window
 wins.  A span is added if it doesn't overlap a base span and holds what its kind must hold.
 """
@@ -29,6 +30,7 @@ WINDOW, REACH, HIDDEN, EMBEDDING = 96, 32, 20, 12
 _SYMBOLS = "abcdefghijklmnopqrstuvwxyz0@.+-()[]{}_% ,:;/=\"'#!?\n"
 _UNKNOWN, _PAD = len(_SYMBOLS) + 1, 0
 _CODE = {c: i + 1 for i, c in enumerate(_SYMBOLS)} | {c: _SYMBOLS.index("0") + 1 for c in "123456789"} | {c.upper(): i + 1 for i, c in enumerate(_SYMBOLS[:26])}
+_REST = re.compile(r"\S*(?:\s?(?:\.|[(\[{] ?dot ?[)\]}])\s?\S+)*", re.I)
 ANCHOR = re.compile(r"[0-9@]|[(\[{] ?at ?[)\]}]", re.I)
 
 Span = tuple[str, int, int]
@@ -319,26 +321,52 @@ def trained() -> dict[str, np.ndarray]:
 # --- whole texts ---------------------------------------------------------------------------------
 
 
+def _token(text: str, a: int, b: int) -> tuple[int, int]:
+    """a and b moved out to the ends of the tokens that they cut, and of hosts whose dots are spelt out or spaced."""
+    while 0 < a < len(text) and not text[a - 1].isspace() and not text[a].isspace():
+        a -= 1
+    return a, _REST.match(text, b).end() if b < len(text) and not text[b - 1].isspace() else b
+
+
 def _windows(text: str) -> list[tuple[int, str]]:
-    """Half overlapping windows over what lies within REACH of an anchor."""
-    out, lo, hi = [], -1, -1
-    areas = []
+    """Half overlapping windows over what lies within REACH of an anchor, and over the tokens cut there.
+
+    Each at sign has a window more, from the start of the token before it.
+    """
+    out, areas = [], []
     for m in ANCHOR.finditer(text):
         a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if a <= hi:
-            hi = b
+        if areas and a <= areas[-1][1]:
+            areas[-1][1] = max(b, areas[-1][1])
         else:
-            areas.append((lo, hi))
-            lo, hi = a, b
-    areas.append((lo, hi))
-    for a, b in areas[1:]:
-        at = a
+            areas.append([a, b])
+        if not m[0].isdigit():
+            start = m.start() - (text[max(0, m.start() - 1) : m.start()] == " ")
+            least = max(0, start - WINDOW)
+            while start > least and not text[start - 1].isspace():
+                start -= 1
+            out.append((start, text[start : start + WINDOW]))
+    whole: list[list[int]] = []
+    for a, b in areas:
+        if whole and b <= whole[-1][1]:
+            continue
+        a, b = _token(text, a, b) if not whole or a > whole[-1][1] else (whole[-1][1], _token(text, b, b)[1])
+        if whole and a <= whole[-1][1]:
+            whole[-1][1] = max(b, whole[-1][1])
+        else:
+            whole.append([a, b])
+    for at, b in whole:
         while True:
             out.append((at, text[at : min(b, at + WINDOW)]))
             if at + WINDOW >= b:
                 break
             at += WINDOW // 2
-    return out
+    return list(dict.fromkeys(out))
+
+
+def _is_cut(text: str, a: int, b: int, lo: int, hi: int) -> bool:
+    """Whether the span a to b ends at an end of its window lo to hi, inside a token."""
+    return a == lo and lo > 0 and not text[lo - 1].isspace() or b == hi and hi < len(text) and not text[hi].isspace()
 
 
 def _plausible(kind: str, text: str) -> bool:
@@ -384,6 +412,8 @@ def _find(p: dict[str, np.ndarray]):
                 if len(waiting) >= 2048 or row == len(texts) - 1:
                     for (r, at, w), spans in zip(waiting, decode(p, [w for _, _, w in waiting])):
                         for kind, a, b in spans:
+                            if _is_cut(texts[r], at + a, at + b, at, at + len(w)):
+                                continue
                             x, y = _trim(w, a, b)
                             added.setdefault(r, []).append((min(a if at else WINDOW, len(w) - b if at + len(w) < len(texts[r]) else WINDOW), (kind, at + x, at + y)))
                     waiting = []
