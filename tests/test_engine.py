@@ -1,12 +1,17 @@
+import base64
+import gzip
+import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from twinledger.functions import text as T
-from twinledger.operators import control, indexes, match, sync
+from twinledger.operators import bounds, control, indexes, match, sync
 from twinledger.plans.config import Config
-from twinledger.sources import packed
+from twinledger.sources import packed, requests, synthetic
+from twinledger.streaming import checks
 
 PARTY = "bp_id string, bp_type_id string, name_1 string, address string, ktp_number string, npwp_number string"
 
@@ -26,11 +31,139 @@ def test_config_rejects_garbage():
 
 
 def test_normalisation(spark):
-    rows = spark.createDataFrame([("Jl. Melati No.12, Café",), ("no12",), ("ﬁne ½ ｆｕｌｌ ß",), (None,)], "s string")
-    fast = [r[0] for r in rows.select(T.normalize_text(F.col("s"))).collect()]
-    slow = [r[0] for r in rows.select(T.normalize_unicode(F.col("s"))).collect()]
-    assert fast[:2] == ["melati 12 cafe", "no12"] and fast[3] == ""
-    assert slow == ["melati 12 cafe", "no12", "fine 1 2 full", ""]
+    rows = spark.createDataFrame([("Jl. Melati No.12, Café",), ("no12",), ("ﬁne ½ ｆｕｌｌ ß",), (None,), ("Łukáš Čech Đà Nẵng",), ("Ünï İstanbul",)], "s string")
+    assert [r[0] for r in rows.select(T.normalize_text(F.col("s"))).collect()] == ["melati 12 cafe", "no12", "fine 1 2 full", "", "ukas cech a nang", "uni istanbul"]
+    derived = parties(spark, ("1", "", "Čech", "Nẵng", "", ""))
+    assert derived.first()["exact_hash"] == hashlib.sha256("cech\x1fnang".encode()).hexdigest()
+
+
+def test_row_hash_and_digest(spark):
+    """Values of the formats themselves: compact JSON of six texts with bare digits; lines in id order."""
+    rows = parties(spark, ("B", "EN", 'a"é', "b/", "1111-0000", "9 9"), ("A", "EN", "x", "", "", ""))
+    want = {r[0]: hashlib.sha256(json.dumps(list(r), ensure_ascii=False, separators=(",", ":")).encode()).hexdigest() for r in (("B", "EN", 'a"é', "b/", "11110000", "99"), ("A", "EN", "x", "", "", ""))}
+    assert {r.bp_id: r.row_hash for r in rows.collect()} == want
+    assert indexes.ordered_digest(rows) == hashlib.sha256("".join(f"{k}\x1f{want[k]}\n" for k in sorted(want)).encode()).hexdigest()
+    one = indexes.digest(rows).first()
+    assert one == indexes.digest(rows.repartition(3)).first() != indexes.digest(rows.withColumn("row_hash", F.lit("x"))).first()
+    assert tuple(indexes.digest(rows.limit(0)).first()) == (0, None, None)
+
+
+def test_numbering_is_gapless(spark):
+    rows = spark.range(1000).select((F.col("id") % 7).alias("a"), F.col("id").alias("b")).repartition(13)
+    got = indexes.numbered(rows, "a", "b").collect()
+    assert [(r.a, r.b) for r in sorted(got, key=lambda r: r.bp_db_row)] == sorted((r.a, r.b) for r in got) and {r.bp_db_row for r in got} == set(range(2, 1002))
+    assert indexes.numbered(rows.limit(0), "a").count() == 0
+    base = indexes.base_table(parties(spark, *((str(i), "EN", f"name {i}", "x" * (i % 9), "", "") for i in range(60))))
+    assert indexes.gaps(indexes.ranges(base, "len_bucket", "token_count")).isEmpty() and indexes.audit(base, indexes.exact_index(base)).isEmpty()
+    keys = spark.createDataFrame([(1,), (2,)], "k int")
+    assert indexes.require_one_to_one(keys, keys.withColumn("v", F.lit(1)), "k").count() == 2
+    for left, right in ((keys.union(keys), keys), (keys, keys.limit(1))):
+        with pytest.raises(ValueError):
+            indexes.require_one_to_one(left, right, "k")
+
+
+def test_source_override(spark):
+    general = spark.createDataFrame([("A", "EN", "n", None), (None, "EN", "m", "x")], "bp_id string, bp_type_id string, name_1 string, address string")
+    docs, taxes = (spark.createDataFrame([("A", "1")], f"bp_id string, {c} string") for c in ("ktp_number", "npwp_number"))
+    assert [tuple(r) for r in indexes.source_sql(spark, general, docs, taxes).collect()] == [("A", "EN", "n", "", "1", "1")]
+    own = "SELECT g.*, 7 AS ktp_number, NULL AS npwp_number FROM {general} g WHERE bp_id IS NOT NULL"
+    assert [tuple(r) for r in indexes.source_sql(spark, general, docs, taxes, own).collect()] == [("A", "EN", "n", "", "7", "")]
+    with pytest.raises(ValueError):
+        indexes.source_sql(spark, general.limit(0), docs, taxes)
+
+
+def test_bounds_lose_no_match(spark):
+    """Perturbed synthetic parties at four settings: blocks with bounds give what full scores of all pairs give."""
+    rows = synthetic.parties(spark, 240)
+    made = synthetic.perturbed(synthetic.perturbed(rows.where("cast(bp_id AS bigint) % 4 = 0")), 5)
+    base = indexes.derive(rows).persist()
+    requests = indexes.derive(made).withColumn("req_id", F.concat("bp_id", F.lit("p"))).withColumn("bp_id", F.col("req_id")).persist()
+    scored = match.metrics(match.pairs_in_window(requests, base)).persist()
+    for config in (Config(), Config(threshold=60, direct=55), Config(threshold=70, direct=85, weights=(30, 10, 60)), Config(direct=100)):
+        want = {tuple(r) for r in match.judged_matches(scored, config).collect()}
+        assert {tuple(r) for r in match.find(requests, base, config).collect()} == want
+        assert want or config.direct == 100
+    for most in (3, 7):
+        small = {(int(p), int(r)) for p, r in zip(*bounds.possible([b"toko satu", b"x", b"satu toko jaya"], [b"toko satu", b"y"], Config(direct=10 * most)))}
+        assert (0, 0) in small and (1, 0) not in small
+    assert match.find(requests.limit(0), base).count() == match.find(requests, base.limit(0)).count() == 0
+
+
+def test_groups_of_duplicates(spark):
+    base = parties(spark, *((i, "", n, a, k, "") for i, n, a, k in (("A", "warung delapan", "jalan teratai 8", "1"), ("B", "warung delapa", "jalan teratai 8", ""), ("C", "quite other", "elsewhere", "1"), ("D", "nothing like", "the rest 77", ""))))
+    assert {r.bp_id: r.group_id for r in match.duplicate_groups(base).collect()} == {"A": "A", "B": "A", "C": "A", "D": "D"}
+
+
+def test_bounded_scans_resume(spark):
+    base = indexes.base_table(parties(spark, *((str(i), "", f"alpha beta {i:03d}", "gamma delta", "", "") for i in range(50)), ("Z", "", "alpha beta 999", "gamma delte", "", ""))).persist()
+    request = asked(spark, ("q", "", "alpha beta 999", "gamma delta", "", ""))
+    state, config = None, Config(direct=97)
+    seen = 0
+    while True:
+        state = control.scan_step(request, base, state, 20, config)
+        seen += 1
+        if state["decision"] != "INCONCLUSIVE":
+            break
+    assert state["decision"] == "FAIL" and seen == -(-state["scanned"] // 20)
+    other = asked(spark, ("q", "", "zzzz yyyy 000", "xxxx wwwww", "", ""))
+    first = control.resume(other, base, b"k", "s1", budget=40, now=0)
+    assert first["decision"] == "INCONCLUSIVE" and first["compared"] == 40
+    last = control.resume(other, base, b"k", "s1", first["cursor"], budget=40, now=1)
+    assert (last["decision"], last["scanned"], last["compared"]) == ("PASS", 51, 51)
+    for bad in (dict(sync_id="s2", now=1), dict(sync_id="s1", now=4000)):
+        with pytest.raises(ValueError):
+            control.resume(other, base, b"k", cursor=first["cursor"], **bad)
+
+
+def test_rolling_budget_is_a_fold(spark):
+    import datetime
+
+    rng = random.Random(3)
+    rows = [(i, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=rng.choice([0.5, 7, 30, 61]) * i), rng.choice("ab")) for i in range(200)]
+    want, held = {}, {"a": [], "b": []}
+    for i, t, c in sorted(rows, key=lambda r: (r[1], r[0])):
+        times = [x for x in held[c] if (t - x).total_seconds() < 60]
+        want[i] = len(times) < 3
+        held[c] = times + [t] * want[i]
+    for kind in ("timestamp", "timestamp_ntz"):
+        events = spark.createDataFrame(rows, f"event_id long, ts {kind}, client string")
+        got = control.rolling_budget(events, "client", 3).collect()
+        assert {r.event_id: r.admitted for r in got} == want and all((r.pause_seconds > 0) == (r.used == 3) for r in got)
+
+
+def test_follower_keeps_and_gives_up(spark, tmp_path):
+    root, now = str(tmp_path / "gen"), [0.0]
+    follower = sync.Follower(spark, root, 60, lambda: now[0])
+    with pytest.raises(RuntimeError):
+        follower.rows()
+    v1 = parties(spark, ("A", "EN", "a", "b", "", ""))
+    sync.publish(spark, root, v1, "s1")
+    with pytest.raises(RuntimeError):
+        follower.rows()  # the failure is remembered
+    now[0] = 61.0
+    first = follower.rows()
+    assert follower.rows() is first and first[0]["sync_id"] == "s1" and sync.staged(root) is None
+    sync.publish(spark, root, parties(spark, ("A", "EN", "a", "c", "", "")), "s2")
+    assert follower.rows()[0]["sync_id"] == "s2"
+    with pytest.raises(RuntimeError):
+        sync.read_active(spark, root, "s1")
+    with pytest.raises(ValueError):
+        sync.publish(spark, root, v1.limit(0), "s3")
+    with sync.writer_lock(root), pytest.raises(OSError):
+        sync.publish(spark, root, v1, "s4")
+
+
+def test_streams(spark, tmp_path):
+    root, out = str(tmp_path / "gen"), str(tmp_path / "out")
+    sync.publish(spark, root, parties(spark, ("A", "EN", "warung delapan", "jalan teratai 8", "1", "")), "s1")
+    (tmp_path / "in").mkdir()
+    asked(spark, ("q", "", "warung delapam", "jalan teratai 8", "", "")).select("req_id", *indexes.FIELDS).write.parquet(str(tmp_path / "in" / "one"))
+    stream = spark.readStream.schema("req_id string, " + PARTY).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    query = checks.check_stream(stream, root, out, str(tmp_path / "ck"))
+    query.processAllAvailable()
+    query.stop()
+    got = spark.read.parquet(out).collect()
+    assert [(r.req_id, r.decision, r.sync_id) for r in got] == [("q", "FAIL", "s1")]
 
 
 def test_decisions(spark):
@@ -85,6 +218,23 @@ def test_packed_rejects_torn_snapshots(spark):
             packed.unpack(spark, bad, manifest)
     with pytest.raises(ValueError):
         packed.unpack(spark, parts, manifest | {"sha256": "0"})
+    old = b"bp_id\tbp_type_id\tname_1\taddress\tktp_digits\nA\tEN\tn\ta\t1-2\n"
+    part = {"part_no": 0, "part_count": 1, "sync_id": "s0", "data": base64.b64encode(gzip.compress(old)).decode()}
+    rows = packed.unpack(spark, [part], {"sync_id": "s0", "rows": 1, "sha256": hashlib.sha256(old).hexdigest()})
+    assert [tuple(r) for r in rows.collect()] == [("A", "EN", "n", "a", "12", "")]
+
+
+def test_requests_and_responses(spark):
+    base = parties(spark, ("P1", "EN", "Toko Satu Jaya", "Jl Melati 10", "1111", ""), ("P2", "EN", "Warung Satu", "elsewhere", "1111", ""), ("P3", "EN", "Toko Satu Jayo", "Jl Melati 10", "", ""))
+    made = match.respond(asked(spark, ("a", "", "", "", "1111", ""), ("b", "", "Toko Satu Jaya", "Jl Melati 11", "", ""), ("c", "", "zzz", "yyyy", "", "")), base)
+    got = {r.req_id: r for r in made.collect()}
+    assert [c.bp_id for c in got["a"].candidates] == ["P2"] and {c.bp_id for c in got["b"].candidates} == {"P1", "P3"} and got["c"].candidates is None
+    assert got["c"].pass_basis == "ALL_PARTIES_EVALUATED" and "1111" not in str(got["a"].candidates) and got["a"].reason == match.REASONS["KTP"]
+    body = json.loads({r.req_id: r.body for r in requests.responses(made).collect()}["b"])
+    assert body["decision"] == "FAIL" and body["candidates"][0]["score"] >= 80
+    assert T.posting_parts(F.lit('["a","b"]'), 2) is not None
+    rows = spark.range(1).select(*(T.posting_parts(F.lit(x), 2).alias(f"c{i}") for i, x in enumerate(('["a","b"]', '["a"]', "[", '["a",null]'))))
+    assert list(rows.first()) == [["a", "b"], None, None, None]
 
 
 def test_cursor():

@@ -30,12 +30,11 @@ def _cleaned(c: Column) -> Column:
 
 
 def normalize_text(c: Column) -> Column:
-    """Lower case, accents dropped, other characters and stopwords to single spaces. For ASCII and Latin letters, in the JVM."""
-    return _cleaned(F.translate(F.lower(F.coalesce(c, F.lit(""))), ACCENTED, PLAIN))
+    """Lower case, compatibility decomposition without its accents, other characters and stopwords to single spaces.
 
-
-def normalize_unicode(c: Column) -> Column:
-    """normalize_text for any text: rows with other characters are decomposed in Python, the rest pass it as null."""
+    ASCII and the Latin letters above stay in the JVM; only rows with other characters are decomposed
+    in Python, the rest pass it as null.
+    """
     low = F.lower(F.coalesce(c, F.lit("")))
     slow = F.when(low.rlike(_BEYOND), low)
     return _cleaned(F.coalesce(_decomposed(slow), F.translate(low, ACCENTED, PLAIN)))
@@ -99,6 +98,22 @@ def round2(x: Column) -> Column:
     return F.floor(x * 100 + 0.5) / 100
 
 
+def sanitized(score: Column, reason: Column) -> Column:
+    """What a response shows of a party: no identity number, a preview of the address."""
+    return F.struct("bp_id", "bp_type_id", "name_1", preview(F.col("address")).alias("address_preview"), round2(score).alias("score"), reason.alias("reason"))
+
+
+def posting(*parts: Column) -> Column:
+    """A posting as a compact JSON array of texts."""
+    return F.to_json(F.array(*(p.cast("string") for p in parts)))
+
+
+def posting_parts(c: Column, arity: int) -> Column:
+    """The texts of a posting; null if it is no JSON array of that many texts."""
+    parts = F.from_json(c, "array<string>")
+    return F.when((F.size(parts) == arity) & ~F.exists(parts, lambda x: x.isNull()), parts)
+
+
 def fingerprint(*parts: Column) -> Column:
     """One hash of a query's inputs and settings."""
     return F.sha2(F.to_json(F.struct(*(p.alias(f"p{i}") for i, p in enumerate(parts)))), 256)

@@ -1,4 +1,4 @@
-"""Request controls: rate windows, rolling budgets, resumable scans, percentiles."""
+"""Request controls: rate windows, rolling budgets with their quota state, resumable scans, percentiles."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import base64
 import hashlib
 import hmac
 import json
+import time
 from collections import deque
 from collections.abc import Iterator
 
@@ -13,6 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinledger.functions import text as T
+from twinledger.operators import indexes, match
+from twinledger.operators.indexes import numbered
+from twinledger.plans.config import DEFAULT, Config
+
 
 def over_rate(events: DataFrame, client: str, limit: int) -> DataFrame:
     """Events beyond the limit of their client in their minute, in the order of time and id."""
@@ -20,38 +26,65 @@ def over_rate(events: DataFrame, client: str, limit: int) -> DataFrame:
     return events.withColumn("nth", nth).where(F.col("nth") > limit)
 
 
+def _sessions(events: DataFrame, client: str, seconds: int) -> DataFrame:
+    """(event_id, client, micros, session): a gap of `seconds` or more before an event starts a new session.
+
+    Nothing admitted before such a gap counts after it, so sessions are independent, and a client
+    with many events is as many groups as it has pauses.
+    """
+    placed = events.select("event_id", F.col(client).cast("string").alias("client"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
+    before = Window.partitionBy("client").orderBy("micros", "event_id")
+    new = F.coalesce((F.col("micros") - F.lag("micros").over(before) >= seconds * 1_000_000).cast("int"), F.lit(1))
+    return placed.withColumn("new", new).withColumn("session", F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+
+
 def rolling_budget(events: DataFrame, client: str, limit: int, seconds: int = 60) -> DataFrame:
-    """(event_id, admitted): at most limit admitted events of a client in any window; rejected ones don't count.
+    """(event_id, admitted, used, pause_seconds): at most limit admitted events of a client in any window; rejected
+    ones don't count. used: admitted events in the window, this one included; pause_seconds: until the
+    next one can be, 0 if it can at once.
 
-    Admission depends on earlier admissions, so a client's events are folded in order, as a stream
+    Admission depends on earlier admissions, so a session's events are folded in order, as a stream
     of sorted batches with only the admitted times of the last window in memory.
     """
 
     def fold(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[object, deque] = {}
+        key, times = None, deque()
         for part in rows:
             out = []
-            for key, ts in zip(part["client"], part["micros"]):
-                times = held.setdefault(key, deque())
+            for client_, session, ts in zip(part["client"], part["session"], part["micros"]):
+                if (client_, session) != key:
+                    key, times = (client_, session), deque()
                 while times and times[0] <= ts - seconds * 1_000_000:
                     times.popleft()
-                out.append(len(times) < limit)
-                if out[-1]:
+                if admitted := len(times) < limit:
                     times.append(ts)
-            yield pd.DataFrame({"event_id": part["event_id"], "admitted": out})
+                pause = -(-(times[0] + seconds * 1_000_000 - ts) // 1_000_000) if len(times) >= limit else 0
+                out.append((admitted, len(times), pause))
+            yield pd.DataFrame({"event_id": part["event_id"], **{c: [x[i] for x in out] for i, c in enumerate(("admitted", "used", "pause_seconds"))}})
 
-    placed = events.select("event_id", F.col(client).cast("string").alias("client"), F.unix_micros("ts").alias("micros"))
-    return placed.repartition("client").sortWithinPartitions("client", "micros", "event_id").mapInPandas(fold, "event_id long, admitted boolean")
+    placed = _sessions(events, client, seconds)
+    return placed.repartition("client", "session").sortWithinPartitions("client", "session", "micros", "event_id").mapInPandas(fold, "event_id long, admitted boolean, used long, pause_seconds long")
 
 
 def percentiles(df: DataFrame, column: str, shares: tuple[float, ...] = (0.5, 0.95, 1.0)) -> DataFrame:
     """(share, value) by nearest rank: the value at place floor(share * n), the last at most."""
-    counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    ends = counted.withColumn("upto", F.sum("n").over(Window.orderBy("value")))
-    total = df.where(F.col(column).isNotNull()).count()
-    wanted = F.array(*(F.struct(F.lit(s).alias("share"), F.lit(min(total - 1, int(s * total))).alias("place")) for s in shares))
-    hit = ends.select("value", "n", "upto", F.explode(wanted).alias("w")).where("w.place >= upto - n and w.place < upto")
-    return hit.select(F.col("w.share").alias("share"), "value")
+    rows = numbered(df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")), "value", first=0)
+    total = rows.agg(F.count("*").alias("n"))
+    wanted = total.select(F.explode(F.array(*(F.struct(F.lit(s).alias("share"), F.least(F.col("n") - 1, F.floor(F.lit(s) * F.col("n"))).alias("place")) for s in shares))).alias("w")).select("w.*")
+    return rows.join(F.broadcast(wanted), F.col("bp_db_row") == F.col("place")).select("share", "value")
+
+
+def scan_plan(groups: DataFrame, text_len: int, most_rows: int) -> DataFrame:
+    """Groups (len_bucket, token_count, row_start, row_end, n) in the order of a scan, with before: the rows ahead of each.
+
+    By distance of the bucket from the request's, then by row; if they are more than most_rows, small
+    groups come first.  One row for each group, of which there are as many as lengths and token counts.
+    """
+    over = F.sum("n").over(Window.partitionBy()) > most_rows
+    distance = F.abs(F.col("len_bucket") - F.lit(text_len // 5))
+    ranked = groups.withColumns({"lead": F.when(over, F.col("n")).otherwise(F.lit(0)), "distance": distance})
+    order = Window.orderBy("lead", "distance", "row_start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return ranked.withColumn("before", F.sum("n").over(order) - F.col("n")).drop("lead")
 
 
 def scan_prefix(groups: DataFrame, budget: int) -> DataFrame:
@@ -60,6 +93,50 @@ def scan_prefix(groups: DataFrame, budget: int) -> DataFrame:
     return groups.withColumn("before", F.sum("n").over(order) - F.col("n")).where(F.col("before") < budget)
 
 
+def scan_step(request: DataFrame, base: DataFrame, state: dict | None, budget: int, config: Config = DEFAULT, most_rows: int = 6000) -> dict:
+    """One bounded step of a resumable scan of base (with bp_db_row) for one request.
+
+    At most `budget` rows in plan order, from state["scanned"] on.  decision: FAIL with the first match in
+    that order; PASS only if all rows of the plan were scanned; else INCONCLUSIVE, with the state to go
+    on from.  state and what is returned hold: scanned, compared, total.
+    """
+    q = request.select("req_id", "bp_id", "text_len").first()
+    reach = request.select(T.max_len_diff(F.col("text_len"), config.tolerance_percent, config.tolerance_chars)).first()[0]
+    low, high = max(0, q.text_len - reach) // 5, (q.text_len + reach) // 5
+    groups = indexes.ranges(base, "len_bucket", "token_count").where(F.col("len_bucket").between(low, high))
+    plan = scan_plan(groups, q.text_len, most_rows)
+    total = plan.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    at, compared = (state or {}).get("scanned", 0), (state or {}).get("compared", 0)
+    if state and state.get("total", total) != total:
+        raise ValueError("the plan has changed")
+    end = min(total, at + budget)
+    # the part of each group that this step covers, as rows of base
+    skip, take = F.greatest(F.lit(at) - F.col("before"), F.lit(0)), F.least(F.lit(end) - F.col("before"), F.col("n"))
+    wanted = plan.where((F.col("before") < end) & (F.col("before") + F.col("n") > at)).select((F.col("row_start") + skip).cast("long").alias("row_start"), (F.col("row_start") + take - 1).cast("long").alias("row_end"), "before", F.col("row_start").alias("group_start"))
+    rows = indexes.in_ranges(base, wanted.select("row_start", "row_end"))
+    pairs = match.pairs_in_window(request, rows, config)
+    compared += pairs.count()
+    found = match.matches(pairs, config).join(base.select("bp_id", "bp_db_row"), "bp_id")
+    placed = found.join(F.broadcast(wanted), F.col("bp_db_row").between(F.col("row_start"), F.col("row_end"))).withColumn("position", F.col("before") + F.col("bp_db_row") - F.col("group_start"))
+    first = placed.agg(F.min_by(F.struct("bp_id", "score", "rule"), "position").alias("first")).first()["first"]
+    out = {"scanned": end, "compared": compared, "total": total}
+    if first is not None:
+        return out | {"decision": "FAIL", "bp_id": first["bp_id"], "score": first["score"], "rule": first["rule"]}
+    return out | {"decision": "PASS" if end == total else "INCONCLUSIVE"}
+
+
+def resume(request: DataFrame, base: DataFrame, secret: bytes, sync_id: str, cursor: str | None = None, budget: int = 3000, config: Config = DEFAULT, now: float | None = None, ttl: int = 3600) -> dict:
+    """scan_step with a signed cursor, bound to the request's inputs, the settings and the generation."""
+    now = time.time() if now is None else now
+    texts = request.select("norm_text", "ktp", "npwp").first()
+    bound = {"query": hashlib.sha256(json.dumps([*texts, str(config)]).encode()).hexdigest(), "sync_id": sync_id}
+    state = verify(cursor, secret, now, bound) if cursor else None
+    out = scan_step(request, base, state, budget, config)
+    if out["decision"] == "INCONCLUSIVE":
+        out["cursor"] = sign(bound | {k: out[k] for k in ("scanned", "compared", "total")} | {"expires": now + ttl}, secret)
+    return out
+
+
 def sign(state: dict, secret: bytes) -> str:
     """A resumable scan's cursor: JSON with an HMAC-SHA256, base64url."""
     body = json.dumps(state, sort_keys=True, separators=(",", ":")).encode()

@@ -8,36 +8,63 @@ from pyspark.sql import functions as F
 from twinledger.functions import similarity as S
 from twinledger.functions import text as T
 from twinledger.functions.text import round2
+from twinledger.operators.bounds import candidates
 from twinledger.plans.config import DEFAULT, Config
+from twinledger.plans.lineage import cut
 
 EPS = 0.005
 #: Tokens of a party that are compared before all of them are.
 FIRST_TOKENS = 4
-#: A larger batch of requests meets the parties in a shuffle on the length bucket.
-BROADCAST_REQUESTS = 20_000
+#: Exact lookups, in the order in which they decide.
+KINDS = ("ktp", "npwp", "exact_hash")
+
+
+def _keys(rows: DataFrame, id_: str, given: bool) -> DataFrame:
+    """(id, own, kind, key, norm): the exact keys of each row; a hash only where both raw fields are given, if given."""
+    both = (F.trim("name_1") != "") & (F.trim("address") != "") if given else F.lit(True)
+    norm = F.concat_ws("\x1f", "norm_name", "norm_address")
+    keys = [F.when(F.length("ktp") > 0, F.col("ktp")), F.when(F.length("npwp") > 0, F.col("npwp")), F.when(both, F.col("exact_hash"))]
+    pairs = F.array(*(F.struct(F.lit(i).alias("kind"), k.alias("key"), F.when(F.lit(i == 2), norm).otherwise("").alias("norm")) for i, k in enumerate(keys)))
+    return rows.select(F.col(id_).alias("id"), F.col("bp_id").alias("own"), F.explode(pairs).alias("k")).select("id", "own", "k.*").where("key is not null")
+
+
+def all_hits(requests: DataFrame, base: DataFrame) -> DataFrame:
+    """(req_id, kind, bp_id) of all exact lookups, by one join on kind and key.
+
+    kind: the place in KINDS. Equal hashes are checked by the normalised fields themselves.
+    """
+    left = _keys(requests, "req_id", True).select(F.col("id").alias("req_id"), "own", "kind", "key", F.col("norm").alias("asked"))
+    right = _keys(base, "bp_id", False).select(F.col("id").alias("bp_id"), "kind", "key", "norm")
+    return left.join(right, ["kind", "key"]).where("bp_id <> own and asked = norm").select("req_id", "kind", "bp_id")
 
 
 def exact_hits(requests: DataFrame, base: DataFrame, column: str) -> DataFrame:
     """(req_id, bp_id) of equal, non-empty identity numbers, or of equal hashes where both raw fields are given."""
-    held = requests.where(F.length(column) > 0) if column != "exact_hash" else requests.where((F.trim("name_1") != "") & (F.trim("address") != ""))
-    left = held.select("req_id", F.col("bp_id").alias("own"), F.col(column).alias("key"))
-    right = base.where(F.length(column) > 0).select("bp_id", F.col(column).alias("key"))
-    return left.join(right, "key").where("bp_id <> own").select("req_id", "bp_id")
+    return all_hits(requests, base).where(F.col("kind") == KINDS.index(column)).select("req_id", "bp_id")
+
+
+def by_text(requests: DataFrame, base: DataFrame) -> DataFrame:
+    """(req_id, bp_id) of equal name and address, sought by the normalised text and then held against the hash."""
+    left = requests.where((F.trim("name_1") != "") & (F.trim("address") != "")).select("req_id", F.col("bp_id").alias("own"), "norm_text", F.col("exact_hash").alias("asked"))
+    return left.join(base.select("bp_id", "norm_text", "exact_hash"), "norm_text").where("asked = exact_hash and bp_id <> own").select("req_id", "bp_id")
+
+
+def conflicts_of(hits: DataFrame) -> DataFrame:
+    """(req_id, n_ids) from all_hits: exact checks that name different parties; of an identity number's hits the first counts."""
+    first = hits.where("kind < 2").groupBy("req_id", "kind").agg(F.min("bp_id").alias("bp_id")).select("req_id", "bp_id")
+    return first.union(hits.where("kind = 2").select("req_id", "bp_id")).groupBy("req_id").agg(F.count_distinct("bp_id").alias("n_ids")).where("n_ids > 1")
 
 
 def conflicts(requests: DataFrame, base: DataFrame) -> DataFrame:
-    """(req_id, n_ids): exact checks that name different parties; of an identity number's hits the first counts."""
-    first = [exact_hits(requests, base, c).groupBy("req_id").agg(F.min("bp_id").alias("bp_id")) for c in ("ktp", "npwp")]
-    named = first[0].union(first[1]).union(exact_hits(requests, base, "exact_hash"))
-    return named.groupBy("req_id").agg(F.count_distinct("bp_id").alias("n_ids")).where("n_ids > 1")
+    return conflicts_of(all_hits(requests, base))
 
 
 def previews(requests: DataFrame, base: DataFrame, most: int = 5) -> DataFrame:
     """(req_id, place, kind, bp_id): the hits after the first of each kind, in the order of kinds, at most five."""
-    kinds = [exact_hits(requests, base, c).withColumn("kind", F.lit(i)) for i, c in enumerate(("ktp", "npwp", "exact_hash"))]
-    hits = kinds[0].union(kinds[1]).union(kinds[2]).withColumn("nth", F.row_number().over(Window.partitionBy("req_id", "kind").orderBy("bp_id"))).where("nth > 1")
+    nth = F.row_number().over(Window.partitionBy("req_id", "kind").orderBy("bp_id"))
     place = F.row_number().over(Window.partitionBy("req_id").orderBy("kind", "bp_id"))
-    return hits.withColumn("place", place).where(F.col("place") <= most).select("req_id", "place", "kind", "bp_id")
+    rest = all_hits(requests, base).withColumn("nth", nth).where("nth > 1")
+    return rest.withColumn("place", place).where(F.col("place") <= most).select("req_id", "place", "kind", "bp_id")
 
 
 def distinct_first(hits: DataFrame, most: int = 5) -> DataFrame:
@@ -58,12 +85,21 @@ def pairs_in_window(requests: DataFrame, base: DataFrame, config: Config = DEFAU
     low, high = T.len_bucket(F.greatest(F.col("q_text_len") - F.col("reach"), F.lit(0))), T.len_bucket(F.col("q_text_len") + F.col("reach"))
     q = q.withColumn("len_bucket", F.explode(F.sequence(low, high)))
     held = base.where("norm_text <> ''").select("bp_id", "norm_text", "text_len", "tokens", "token_count", "chunks", "len_bucket")
-    if requests.count() <= BROADCAST_REQUESTS:
-        # scoring costs far more than its input's bytes tell, so parties are dealt out evenly
-        held, q = held.repartition(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))), F.broadcast(q)
     return held.join(q, "len_bucket").where("abs(text_len - q_text_len) <= reach and bp_id <> own")
 
 
+def paired(pairs: DataFrame, requests: DataFrame, base: DataFrame) -> DataFrame:
+    """Pairs (req_id, bp_id) with the features of both, as pairs_in_window has them."""
+    q = requests.select("req_id", *(F.col(c).alias("q_" + c) for c in ("norm_text", "text_len", "tokens", "chunks")))
+    held = base.select("bp_id", "norm_text", "text_len", "tokens", "token_count", "chunks", "len_bucket")
+    return pairs.join(q, "req_id").join(held, "bp_id")
+
+
+def find(requests: DataFrame, base: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(req_id, bp_id, score, rule) of matching pairs: bounds over blocks first, then the exact metrics of what is left."""
+    return matches(paired(candidates(requests, base, config), requests, base), config)
+
+
 def bounded_groups(pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Pairs whose lengths and token counts let a score reach a rule."""
     lev, jac, num = config.shares
@@ -143,33 +179,108 @@ def top(found: DataFrame, most: int = 5, score: str = "score") -> DataFrame:
     return found.withColumn("place", place).where(F.col("place") <= most)
 
 
-def check(requests: DataFrame, base: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """(req_id, decision, rule, identity_conflict, exact_count, best_bp_id, score, match_count) for each request.
-
-    An exact hit is FAIL and runs no fuzzy search; text under three characters is PASS with an
-    identity number and INCONCLUSIVE without; a match is FAIL; else PASS.  Without any field: REJECTED.
-    """
-    hits = [exact_hits(requests, base, c).groupBy("req_id").agg(F.count("*").alias("n_" + c), F.min("bp_id").alias("first_" + c)) for c in ("ktp", "npwp", "exact_hash")]
+#: What a rule says to the caller.
+REASONS = {
+    "NO_INPUT": "Supply at least one field.",
+    "IDENTITY_CONFLICT": "Exact checks identify different parties. Review all records.",
+    "KTP": "KTP exact match found.",
+    "NPWP": "NPWP exact match found.",
+    "NAME_ADDRESS": "Exact name and address match found.",
+    "IDENTITY_ONLY": "No matching identity number; insufficient text for a similarity check.",
+    "SHORT_TEXT": "Provide more name or address to check text similarity.",
+    "LEVENSHTEIN": "LEVENSHTEIN direct reject.",
+    "JACCARD": "JACCARD direct reject.",
+    "WEIGHTED": "Weighted name and address similarity.",
+    "FULL_COVERAGE": "No duplicate: every party within the length tolerance was scored or excluded by a proven bound.",
+}
+
+
+def _decided(requests: DataFrame, base: DataFrame, config: Config) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(decisions, hits, matches) of requests; hits and matches are stored, for what is built on them."""
+    hits = cut(all_hits(requests, base))
+    first = hits.groupBy("req_id").pivot("kind", [0, 1, 2]).agg(F.count("bp_id").alias("n"), F.min("bp_id").alias("first"))
     state = requests.select("req_id", "text_len", (F.length("ktp") + F.length("npwp") > 0).alias("has_identity"), ((F.trim("name_1") != "") | (F.trim("address") != "")).alias("has_text"))
-    for h in hits:
-        state = state.join(h, "req_id", "left")
-    state = state.join(conflicts(requests, base), "req_id", "left").fillna(0, ["n_ktp", "n_npwp", "n_exact_hash", "n_ids"])
-    exact = F.col("n_ktp") + F.col("n_npwp") + F.col("n_exact_hash") > 0
-    searched = requests.where("text_len >= 3").join(hits[0].select("req_id").union(hits[1].select("req_id")).union(hits[2].select("req_id")).distinct(), "req_id", "left_anti")
-    found = matches(pairs_in_window(searched, base, config), config)
+    state = state.join(first, "req_id", "left").join(conflicts_of(hits), "req_id", "left").fillna(0, ["0_n", "1_n", "2_n", "n_ids"])
+    ktp, npwp, same = (F.col(f"{i}_n") > 0 for i in range(3))
+    exact = ktp | npwp | same
+    found = cut(find(requests.where("text_len >= 3").join(hits.select("req_id").distinct(), "req_id", "left_anti"), base, config))
     best = top(found, 1).select("req_id", F.col("bp_id").alias("fuzzy_id"), "score", "rule").join(found.groupBy("req_id").agg(F.count("*").alias("match_count")), "req_id")
     state = state.join(best, "req_id", "left")
     rule = (
         F.when(~F.col("has_identity") & ~F.col("has_text"), "NO_INPUT")
-        .when(exact, F.when(F.col("n_ids") > 1, "IDENTITY_CONFLICT").when(F.col("n_ktp") > 0, "KTP").when(F.col("n_npwp") > 0, "NPWP").otherwise("NAME_ADDRESS"))
+        .when(exact, F.when(F.col("n_ids") > 1, "IDENTITY_CONFLICT").when(ktp, "KTP").when(npwp, "NPWP").otherwise("NAME_ADDRESS"))
         .when(F.col("text_len") < 3, F.when(F.col("has_identity"), "IDENTITY_ONLY").otherwise("SHORT_TEXT"))
         .when(F.col("rule").isNotNull(), F.col("rule"))
         .otherwise("FULL_COVERAGE")
     )
     decision = F.when(rule == "NO_INPUT", "REJECTED").when(rule == "SHORT_TEXT", "INCONCLUSIVE").when(rule.isin("IDENTITY_ONLY", "FULL_COVERAGE"), "PASS").otherwise("FAIL")
-    first = F.coalesce("first_ktp", "first_npwp", "first_exact_hash")
-    return state.select(
-        "req_id", decision.alias("decision"), rule.alias("rule"), (F.col("n_ids") > 1).alias("identity_conflict"), F.col("n_exact_hash").alias("exact_count"),
-        F.when(exact, first).otherwise(F.col("fuzzy_id")).alias("best_bp_id"), F.when(exact, F.lit(100.0)).otherwise(F.col("score")).alias("score"),
+    decided = state.select(
+        "req_id", decision.alias("decision"), rule.alias("rule"), (F.col("n_ids") > 1).alias("identity_conflict"), F.col("2_n").alias("exact_count"),
+        F.when(exact, F.coalesce("0_first", "1_first", "2_first")).otherwise(F.col("fuzzy_id")).alias("best_bp_id"), F.when(exact, F.lit(100.0)).otherwise(F.col("score")).alias("score"),
         F.when(exact, F.lit(0)).otherwise(F.coalesce("match_count", F.lit(0))).cast("long").alias("match_count"),
     )
+    return decided, hits, found
+
+
+def check(requests: DataFrame, base: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(req_id, decision, rule, identity_conflict, exact_count, best_bp_id, score, match_count) for each request.
+
+    An exact hit is FAIL and runs no fuzzy search; text under three characters is PASS with an
+    identity number and INCONCLUSIVE without; a match is FAIL; else PASS.  Without any field: REJECTED.
+    """
+    return _decided(requests, base, config)[0]
+
+
+def scan_counts(requests: DataFrame, base: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(req_id, eligible, excluded_by_length, scored) of a full scan: parties in the length window, out of it, and
+    those that the bounds leave for the exact metrics.
+
+    The window is counted on the length histogram, a row for each length, not on pairs.
+    """
+    lengths = base.where("norm_text <> ''").groupBy(F.col("text_len").alias("len")).agg(F.count("*").alias("n"))
+    own = base.where("norm_text <> ''").select(F.col("bp_id"), F.lit(1).alias("self"))
+    asked = requests.where("text_len >= 3").select("req_id", "bp_id", "text_len", T.max_len_diff(F.col("text_len"), config.tolerance_percent, config.tolerance_chars).alias("reach"))
+    reached = asked.select("req_id", F.explode(F.sequence(F.greatest(F.col("text_len") - F.col("reach"), F.lit(1)), F.col("text_len") + F.col("reach"))).alias("len"))
+    eligible = reached.join(lengths, "len").groupBy("req_id").agg(F.sum("n").alias("within"))
+    total = lengths.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    scored = candidates(asked.join(requests.select("req_id", "norm_text"), "req_id"), base, config).groupBy("req_id").agg(F.count("*").alias("scored"))
+    out = asked.join(eligible, "req_id", "left").join(own, "bp_id", "left").join(scored, "req_id", "left").join(F.broadcast(total)).fillna(0, ["within", "self", "scored"])
+    return out.select("req_id", (F.col("within") - F.col("self")).alias("eligible"), (F.col("total") - F.col("within")).alias("excluded_by_length"), "scored")
+
+
+def respond(requests: DataFrame, base: DataFrame, config: Config = DEFAULT, most: int = 5) -> DataFrame:
+    """check, with reason, pass_basis, and candidates: up to five parties without their identity numbers.
+
+    After an exact hit these are the other hits, by kind; else the matches, best first.
+    """
+    decided, hits, found = _decided(requests, base, config)
+    nth = F.row_number().over(Window.partitionBy("req_id", "kind").orderBy("bp_id"))
+    exact = hits.withColumn("nth", nth).where("nth > 1").select("req_id", F.col("kind").cast("double").alias("lead"), "bp_id", F.lit(100.0).alias("score"), F.lit("Exact match").alias("reason"))
+    fuzzy = found.select("req_id", (-F.col("score")).alias("lead"), "bp_id", "score", F.when(F.col("rule") == "WEIGHTED", REASONS["WEIGHTED"]).otherwise(F.concat("rule", F.lit(" direct reject."))).alias("reason"))
+    place = F.row_number().over(Window.partitionBy("req_id").orderBy("lead", "bp_id"))
+    shown = exact.union(fuzzy).withColumn("place", place).where(F.col("place") <= most)
+    rows = shown.join(base.select("bp_id", "bp_type_id", "name_1", "address"), "bp_id").select("req_id", F.struct("place", T.sanitized(F.col("score"), F.col("reason")).alias("row")).alias("x"))
+    listed = rows.groupBy("req_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["row"]).alias("candidates"))
+    reason = F.element_at(F.create_map(*(F.lit(x) for pair in REASONS.items() for x in pair)), F.col("rule"))
+    basis = F.when(F.col("rule") == "IDENTITY_ONLY", "IDENTITY_EXACT_INDEX_COMPLETE").when(F.col("rule") == "FULL_COVERAGE", "ALL_PARTIES_EVALUATED")
+    return decided.join(listed, "req_id", "left").withColumns({"reason": reason, "pass_basis": basis})
+
+
+def duplicate_groups(base: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(bp_id, group_id): all parties against all, by exact keys and matches; group_id is the least id connected.
+
+    Parties that share an exact key link with the least of its holders, not with each other.
+    """
+    keys = _keys(base, "bp_id", False)
+    least = keys.groupBy("kind", "key").agg(F.min("id").alias("least"))
+    same = keys.join(least, ["kind", "key"]).where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
+    close = find(base.withColumn("req_id", F.col("bp_id")).where("text_len >= 3"), base, config).select(F.col("req_id").alias("a"), F.col("bp_id").alias("b"))
+    edges = same.union(close)
+    edges = cut(edges.union(edges.select("b", "a")).distinct())
+    label = cut(edges.groupBy(F.col("a").alias("bp_id")).agg(F.least(F.first("a"), F.min("b")).alias("group_id")))
+    while True:
+        near = edges.join(label.select(F.col("bp_id").alias("b"), "group_id"), "b").groupBy(F.col("a").alias("bp_id")).agg(F.min("group_id").alias("near"))
+        moved = cut(label.join(near, "bp_id").select("bp_id", F.col("group_id").alias("was"), F.least("group_id", "near").alias("group_id")))
+        label = moved.select("bp_id", "group_id")
+        if moved.where("was <> group_id").isEmpty():
+            return base.select("bp_id").join(label, "bp_id", "left").select("bp_id", F.coalesce("group_id", "bp_id").alias("group_id"))

@@ -1,8 +1,10 @@
 """The engine's operators as queries over the test tables, with their SQL for DuckDB.
 
-A party is a short record cut out of a document: three words of name, eleven of address, and
-identity numbers from its other columns. Every document is a party; those whose id is divisible by
-20 are the requests, against all other parties, with two literal requests for the short-text rules.
+Every document is a party: its first three words are the name, all others the address, and identity
+numbers come from its other columns.  For scores, whose cost is the square of a text's length, the
+parties are the pages' whole addresses on the web: the host is the name, the rest the address.  Rows
+whose id is divisible by 20 are the requests, against all others, with two literal requests for the
+short-text rules.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from twinledger.functions import text as T
 from twinledger.operators import control, indexes, match, sync
 from twinledger.plans.config import DEFAULT, Config
-from twinledger.sources import packed, requests
+from twinledger.sources import packed, requests, synthetic
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,30 +39,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def party(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("w", F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "))
+    docs = table(spark, sf_dir, "documents").withColumn("w", F.split(F.trim(F.regexp_replace("text", r"[ \t\n\x0B\f\r]+", " ")), " "))
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("bp_id"), F.concat(F.lit("99"), F.lpad((F.col("doc_id") % 97).cast("string"), 13, "0")).alias("npwp_number"))
     number = F.when(F.col("doc_id") % 3 != 2, F.concat(F.lit("31"), F.lpad(F.col("n_chars").cast("string"), 14, "0")))
-    general = docs.select(F.col("doc_id").cast("string").alias("bp_id"), F.upper("lang").alias("bp_type_id"), F.array_join(F.slice("w", 1, 3), " ").alias("name_1"), F.array_join(F.slice("w", 4, 11), " ").alias("address"))
+    general = docs.select(F.col("doc_id").cast("string").alias("bp_id"), F.upper("lang").alias("bp_type_id"), F.array_join(F.slice("w", 1, 3), " ").alias("name_1"), F.array_join(F.slice("w", F.lit(4), F.greatest(F.size("w") - 3, F.lit(0))), " ").alias("address"))
     numbers = docs.select(F.col("doc_id").cast("string").alias("bp_id"), number.alias("ktp_number"))
     return indexes.source(general, numbers, labels)
 
 
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, id_ = table(spark, sf_dir, "pages"), F.col("page_id").cast("string").alias("bp_id")
+    host = F.regexp_extract("url", "^[a-z]+://[^/]*", 0)
+    general = pages.select(id_, F.lit("WEB").alias("bp_type_id"), host.alias("name_1"), F.substring(F.col("url"), F.length(host) + 1, F.length("url")).alias("address"))
+    numbers = pages.select(id_, F.when(F.col("page_id") % 3 != 2, F.concat(F.lit("31"), F.lpad(F.length("html").cast("string"), 14, "0"))).alias("ktp_number"))
+    taxes = pages.where("page_id % 5 = 0").select(id_, F.concat(F.lit("99"), F.lpad((F.col("page_id") % 97).cast("string"), 13, "0")).alias("npwp_number"))
+    return indexes.source(general, numbers, taxes)
+
+
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexes.derive(party(spark, sf_dir))
 
 
+def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexes.derive(links(spark, sf_dir))
+
+
+def _requests(rows: DataFrame) -> DataFrame:
+    literal = rows.sparkSession.createDataFrame([("X1", "EN", "a", "", "", ""), ("X2", "EN", "a", "", "0000000000000000", "")], rows.schema)
+    return indexes.derive(rows.where(F.expr("try_cast(bp_id AS bigint) % 20 = 0")).union(literal)).withColumn("req_id", F.col("bp_id"))
+
+
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = party(spark, sf_dir).where(F.expr("try_cast(bp_id AS bigint) % 20 = 0"))
-    literal = spark.createDataFrame([("X1", "EN", "a", "", "", ""), ("X2", "EN", "a", "", "0000000000000000", "")], rows.schema)
-    return indexes.derive(rows.union(literal)).withColumn("req_id", F.col("bp_id"))
+    return _requests(party(spark, sf_dir))
+
+
+def asked_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _requests(links(spark, sf_dir))
 
 
-_ACC, _PLAIN = T.ACCENTED, T.PLAIN
 _STOP = T.STOPWORDS.replace(" ", "|")
 
 
 def _norm(c: str) -> str:
-    return rf"trim(regexp_replace(regexp_replace(regexp_replace(translate(lower({c}),'{_ACC}','{_PLAIN}'),'[^a-z0-9 ]+',' ','g'),'\b({_STOP})\b',' ','g'),' +',' ','g'))"
+    return rf"trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower({c})),'[^a-z0-9 ]+',' ','g'),'\b({_STOP})\b',' ','g'),' +',' ','g'))"
 
 
 def _toks(c: str) -> str:
@@ -73,11 +94,16 @@ def _distinct(c: str) -> str:
 
 
 PARTY = r"""
-w0 AS (SELECT *, string_split(trim(regexp_replace(text,'\s+',' ','g')),' ') AS w FROM documents),
-party AS (SELECT CAST(d.doc_id AS VARCHAR) AS bp_id, upper(lang) AS bp_type_id, array_to_string(w[1:3],' ') AS name_1, array_to_string(w[4:14],' ') AS address,
+w0 AS (SELECT *, string_split(trim(regexp_replace(text,'[ \t\n\x0B\f\r]+',' ','g')),' ') AS w FROM documents),
+party AS (SELECT CAST(d.doc_id AS VARCHAR) AS bp_id, upper(lang) AS bp_type_id, array_to_string(w[1:3],' ') AS name_1, array_to_string(w[4:],' ') AS address,
  CASE WHEN d.doc_id%3<>2 THEN '31'||lpad(CAST(n_chars AS VARCHAR),14,'0') ELSE '' END AS ktp_number,
  CASE WHEN l.doc_id IS NOT NULL THEN '99'||lpad(CAST(l.doc_id%97 AS VARCHAR),13,'0') ELSE '' END AS npwp_number
  FROM w0 d LEFT JOIN labels l ON l.doc_id=d.doc_id)"""
+LINKS = r"""
+u0 AS (SELECT page_id, url, length(html) AS n, regexp_extract(url,'^[a-z]+://[^/]*') AS host FROM pages),
+party AS (SELECT CAST(page_id AS VARCHAR) AS bp_id, 'WEB' AS bp_type_id, coalesce(host,'') AS name_1, coalesce(substring(url,length(host)+1),'') AS address,
+ CASE WHEN page_id%3<>2 THEN coalesce('31'||lpad(CAST(n AS VARCHAR),14,'0'),'') ELSE '' END AS ktp_number,
+ CASE WHEN page_id%5=0 THEN '99'||lpad(CAST(page_id%97 AS VARCHAR),13,'0') ELSE '' END AS npwp_number FROM u0)"""
 
 
 def _derived(of: str, name: str) -> str:
@@ -85,23 +111,28 @@ def _derived(of: str, name: str) -> str:
 {name}0 AS (SELECT *, {_norm("name_1")} AS norm_name, {_norm("address")} AS norm_address, {_norm("name_1||' '||address")} AS norm_text, regexp_replace(ktp_number,'[^0-9]+','','g') AS ktp, regexp_replace(npwp_number,'[^0-9]+','','g') AS npwp FROM {of}),
 {name}1 AS (SELECT *, CAST(length(norm_text) AS INT) AS text_len, {_toks("norm_text")} AS tk, regexp_extract_all(norm_text,'[0-9]+') AS chunks FROM {name}0),
 {name} AS (SELECT *, {_distinct("tk")} AS tokens, CAST(len({_distinct("tk")}) AS INT) AS token_count, CAST(text_len//5 AS INT) AS len_bucket, sha256(norm_name||chr(31)||norm_address) AS exact_hash,
- sha256(CAST(to_json([bp_id,bp_type_id,name_1,address,ktp_number,npwp_number]) AS VARCHAR)) AS row_hash FROM {name}1)"""
+ sha256(CAST(to_json([bp_id,bp_type_id,name_1,address,ktp,npwp]) AS VARCHAR)) AS row_hash FROM {name}1)"""
 
 
-BASE = "WITH " + PARTY + "," + _derived("party", "base")
-ROWS = BASE + ", db AS (SELECT *, row_number() OVER (ORDER BY len_bucket,token_count,text_len,bp_id)+1 AS bp_db_row FROM base)"
-ASKED = (
-    BASE
-    + ", reqs AS (SELECT * FROM party WHERE CAST(bp_id AS BIGINT)%20=0 UNION ALL VALUES ('X1','EN','a','','',''),('X2','EN','a','','0000000000000000',''))"
-    + ","
-    + _derived("reqs", "asked")
-    + """,
+def _asked(of: str) -> str:
+    return (
+        of
+        + ", reqs AS (SELECT * FROM party WHERE CAST(bp_id AS BIGINT)%20=0 UNION ALL VALUES ('X1','EN','a','','',''),('X2','EN','a','','0000000000000000',''))"
+        + ","
+        + _derived("reqs", "asked")
+        + """,
 hit AS (SELECT a.bp_id AS req_id, b.bp_id, 0 AS kind FROM asked a JOIN base b ON a.ktp=b.ktp WHERE a.ktp<>'' AND a.bp_id<>b.bp_id
  UNION ALL SELECT a.bp_id, b.bp_id, 1 FROM asked a JOIN base b ON a.npwp=b.npwp WHERE a.npwp<>'' AND a.bp_id<>b.bp_id
- UNION ALL SELECT a.bp_id, b.bp_id, 2 FROM asked a JOIN base b ON a.exact_hash=b.exact_hash WHERE trim(a.name_1)<>'' AND trim(a.address)<>'' AND a.bp_id<>b.bp_id)"""
-)
+ UNION ALL SELECT a.bp_id, b.bp_id, 2 FROM asked a JOIN base b ON a.norm_name=b.norm_name AND a.norm_address=b.norm_address WHERE trim(a.name_1)<>'' AND trim(a.address)<>'' AND a.bp_id<>b.bp_id)"""
+    )
+
+
+BASE = "WITH " + PARTY + "," + _derived("party", "base")
+LINKED = "WITH " + LINKS + "," + _derived("party", "base")
+ROWS = BASE + ", db AS (SELECT *, row_number() OVER (ORDER BY len_bucket,token_count,text_len,bp_id)+1 AS bp_db_row FROM base)"
+ASKED, ASKED_LINKS = _asked(BASE), _asked(LINKED)
 PAIRS = (
-    ASKED
+    ASKED_LINKS
     + """,
 pairs AS (SELECT a.bp_id AS req_id, b.bp_id, a.norm_text AS qt, b.norm_text AS ct, a.tokens AS qk, b.tokens AS ck, a.chunks AS qn, b.chunks AS cn, a.text_len AS ql, b.text_len AS cl, a.token_count AS qc, b.token_count AS cc
  FROM asked a JOIN base b ON abs(a.text_len-b.text_len) <= greatest(12, CAST(floor(a.text_len*0.3+0.5) AS INT)) AND a.bp_id<>b.bp_id WHERE a.norm_text<>'' AND b.norm_text<>'')"""
@@ -157,9 +188,13 @@ def normalize_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").withColumn("n", T.normalize_text(F.col("text"))).select("doc_id", F.sha2("n", 256).alias("norm_hash"), F.length("n").cast("long").alias("norm_len"))
 
 
-@query(f"SELECT doc_id, sha256({_norm('text')}) AS norm_hash FROM documents")
+# Text whose letters decompose by compatibility, and what the normalisation makes of it.
+_BEYOND, _BEYOND_NORM = "Łukáš Čech ﬁne Ｆｕｌｌ Đà Nẵng ½ İx", "ukas cech fine full a nang 1 2 ix"
+
+
+@query(f"SELECT doc_id, sha256(trim({_norm('text')}||' {_BEYOND_NORM}')) AS norm_hash FROM documents")
 def normalize_unicode(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalize_unicode(F.col("text")), 256).alias("norm_hash"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalize_text(F.concat(F.col("text"), F.lit(" " + _BEYOND))), 256).alias("norm_hash"))
 
 
 @query("SELECT doc_id, sha256(regexp_replace(text,'[^0-9]+','','g')) AS digits_hash FROM documents")
@@ -203,12 +238,15 @@ def row_hash(spark, sf_dir):
     return base(spark, sf_dir).select("bp_id", "row_hash")
 
 
-_DIGEST = ", blocks AS (SELECT substring(sha256(bp_id),1,3) AS block, sha256(string_agg(bp_id||chr(31)||row_hash||chr(10),'' ORDER BY bp_id)) AS h FROM base GROUP BY 1)"
+@query(BASE + " SELECT sha256(string_agg(bp_id||chr(31)||row_hash||chr(10),'' ORDER BY bp_id)) AS source_digest FROM base")
+def source_digest(spark, sf_dir):
+    return spark.createDataFrame([(indexes.ordered_digest(base(spark, sf_dir)),)], "source_digest string")
 
 
-@query(BASE + _DIGEST + " SELECT sha256(string_agg(h,'' ORDER BY block)) AS source_digest FROM blocks")
-def source_digest(spark, sf_dir):
-    return indexes.digest(base(spark, sf_dir))
+@query(LINKED + " SELECT bp_id, sha256(to_json({'p0':norm_text,'p1':ktp,'p2':'92.0'})::VARCHAR) AS fingerprint, list_filter(tokens, lambda t: length(t)>=3 AND t NOT IN ('jl','jalan','rt','rw','no'))[1] AS first_token FROM base")
+def query_fingerprint(spark, sf_dir):
+    stop = ("jl", "jalan", "rt", "rw", "no")
+    return linked(spark, sf_dir).select("bp_id", T.fingerprint(F.col("norm_text"), F.col("ktp"), F.lit(str(DEFAULT.threshold))).alias("fingerprint"), T.first_useful_token(F.col("tokens"), stop).alias("first_token"))
 
 
 # --- derived tables --------------------------------------------------------------------------------
@@ -219,6 +257,11 @@ def base_sort(spark, sf_dir):
     return indexes.base_table(base(spark, sf_dir)).select("bp_id", F.col("bp_db_row").cast("long"))
 
 
+@query(BASE + " SELECT bp_id, row_number() OVER (ORDER BY len_bucket,token_count,bp_id)+1 AS bp_db_row FROM base")
+def keyed_sort(spark, sf_dir):
+    return indexes.keyed_table(base(spark, sf_dir)).select("bp_id", F.col("bp_db_row").cast("long"))
+
+
 @query(ROWS + " SELECT len_bucket, min(bp_db_row) AS row_start, max(bp_db_row) AS row_end, count(*) AS n FROM db GROUP BY 1")
 def index_len(spark, sf_dir):
     return indexes.ranges(indexes.base_table(base(spark, sf_dir)), "len_bucket")
@@ -231,8 +274,33 @@ def index_len_token(spark, sf_dir):
 
 @query(ROWS + " SELECT len_bucket||':'||token_count AS group_key, to_json([norm_text, CAST(bp_db_row AS VARCHAR), bp_id])::VARCHAR AS posting FROM db")
 def postings(spark, sf_dir):
+    return indexes.postings(indexes.base_table(base(spark, sf_dir)))
+
+
+@query(ROWS + " SELECT bp_db_row, CASE WHEN CAST(bp_id AS BIGINT)%10=7 THEN 'MISSING' ELSE 'OTHER_ID' END AS fault FROM db WHERE ktp<>'' AND CAST(bp_id AS BIGINT)%10 IN (3,7) UNION ALL SELECT NULL, 'UNREADABLE' FROM db WHERE ktp<>'' AND CAST(bp_id AS BIGINT)%10=5")
+def postings_read(spark, sf_dir):
+    """Postings with faults put in, read back: rows without their text, of another id, and cut JSON."""
+    rows = indexes.base_table(base(spark, sf_dir))
+    digit = lambda c: F.col(c).cast("long") % 10
+    fuzzy = indexes.postings(rows.where(digit("bp_id") != 7))
+    held = rows.withColumn("was", F.col("bp_id")).withColumn("bp_id", F.when(digit("bp_id") == 3, F.concat("bp_id", F.lit("x"))).otherwise(F.col("bp_id")))
+    good = indexes.identity_postings(held.where(digit("was") != 5), "ktp")
+    torn = indexes.identity_postings(held.where(digit("was") == 5), "ktp").withColumn("posting", F.expr("substring(posting, 1, length(posting) - 3)"))
+    return indexes.read_postings(fuzzy, good.union(torn))[1]
+
+
+@query(ROWS + " SELECT bp_id||CASE WHEN CAST(bp_id AS BIGINT)%4=0 THEN 'x' ELSE '' END AS bp_id, bp_db_row, CAST(bp_id AS BIGINT)%4<>0 AS verified FROM db")
+def row_fetch(spark, sf_dir):
     rows = indexes.base_table(base(spark, sf_dir))
-    return rows.select(F.concat_ws(":", "len_bucket", "token_count").alias("group_key"), F.to_json(F.array("norm_text", F.col("bp_db_row").cast("string"), "bp_id")).alias("posting"))
+    hits = rows.select(F.when(F.col("bp_id").cast("long") % 4 == 0, F.concat("bp_id", F.lit("x"))).otherwise(F.col("bp_id")).alias("bp_id"), "bp_db_row")
+    return indexes.fetched(hits, rows).select("bp_id", F.col("bp_db_row").cast("long"), "verified")
+
+
+@query(ROWS + " SELECT len_bucket, count(*) AS n, min(bp_db_row) AS least FROM db WHERE len_bucket%3=0 GROUP BY 1")
+def range_rows(spark, sf_dir):
+    rows = indexes.base_table(base(spark, sf_dir))
+    wanted = indexes.ranges(rows, "len_bucket").where("len_bucket % 3 = 0").select("row_start", "row_end")
+    return indexes.in_ranges(rows, wanted).groupBy("len_bucket").agg(F.count("*").alias("n"), F.min("bp_db_row").cast("long").alias("least"))
 
 
 def _shards(column: str, shard: str, order: str) -> str:
@@ -262,9 +330,11 @@ def coverage_check(spark, sf_dir):
     return both.agg(F.count("*").alias("n_rows"), F.sum("n").alias("covered"), F.count_if(F.col("n") != F.col("m")).alias("bad"))
 
 
-@query("SELECT 0::BIGINT AS row_start, 0::BIGINT AS expected WHERE false")
+@query(ROWS + ", g AS (SELECT min(bp_db_row) AS row_start, max(bp_db_row) AS row_end FROM db WHERE bp_db_row%10<>3 GROUP BY len_bucket, token_count), p AS (SELECT row_start, coalesce(lag(row_end) OVER (ORDER BY row_start)+1,2) AS expected FROM g) SELECT * FROM p WHERE row_start<>expected")
 def contiguity_check(spark, sf_dir):
-    return indexes.gaps(indexes.ranges(indexes.base_table(base(spark, sf_dir)), "len_bucket", "token_count")).select(F.col("row_start").cast("long"), F.col("expected").cast("long"))
+    """Gaps in the ranges of rows of which every tenth is gone; whole ranges have none (a test)."""
+    rows = indexes.base_table(base(spark, sf_dir)).where("bp_db_row % 10 <> 3")
+    return indexes.gaps(indexes.ranges(rows, "len_bucket", "token_count")).select(F.col("row_start").cast("long"), F.col("expected").cast("long"))
 
 
 @query(BASE + " SELECT exact_hash, count(*) AS n FROM base GROUP BY 1 HAVING count(*)>1")
@@ -272,16 +342,25 @@ def duplicate_keys(spark, sf_dir):
     return indexes.duplicates(base(spark, sf_dir), "exact_hash")
 
 
-@query("SELECT ''::VARCHAR AS bp_id, 0::BIGINT AS bp_db_row, 0::BIGINT AS entries WHERE false")
+@query(ROWS + " SELECT bp_id, bp_db_row, CASE WHEN CAST(bp_id AS BIGINT)%10=3 THEN 0 ELSE 2 END::BIGINT AS entries FROM db WHERE CAST(bp_id AS BIGINT)%10 IN (3,7)")
 def index_audit(spark, sf_dir):
-    rows = indexes.base_table(base(spark, sf_dir))
-    return indexes.audit(rows, indexes.exact_index(rows)).select("bp_id", F.col("bp_db_row").cast("long"), "entries")
+    """An exact index that lacks some entries and has some twice; a whole one has no findings (a test)."""
+    rows, digit = indexes.base_table(base(spark, sf_dir)), F.col("bp_id").cast("long") % 10
+    exact = indexes.exact_index(rows)
+    return indexes.audit(rows, exact.where(digit != 3).union(exact.where(digit == 7))).select("bp_id", F.col("bp_db_row").cast("long"), "entries")
+
 
+_TABLES = ("documents", "labels", "customer", "pages")
 
-@query("WITH s AS (SELECT 'documents' AS name, count(*) AS n, 5 AS c FROM documents UNION ALL SELECT 'labels', count(*), 3 FROM labels) SELECT sum(greatest(n,100)*c)::BIGINT AS cells FROM s")
+
+@query("SELECT sum(greatest(n,100)*c)::BIGINT AS cells FROM (" + " UNION ALL ".join(f"SELECT (SELECT count(*) FROM {t}) AS n, (SELECT count(*) FROM information_schema.columns WHERE table_name='{t}') AS c" for t in _TABLES) + ")")
 def capacity(spark, sf_dir):
-    sizes = table(spark, sf_dir, "documents").agg(F.count("*").alias("n")).withColumn("c", F.lit(5)).union(table(spark, sf_dir, "labels").agg(F.count("*")).withColumn("c", F.lit(3)))
-    return sizes.agg(F.sum(F.greatest("n", F.lit(100)) * F.col("c")).alias("cells"))
+    out = None
+    for name in _TABLES:
+        rows = table(spark, sf_dir, name)
+        size = rows.agg(F.count("*").alias("n")).withColumn("c", F.lit(len(rows.columns)))
+        out = size if out is None else out.union(size)
+    return out.agg(F.sum(F.greatest("n", F.lit(100)) * F.col("c")).alias("cells"))
 
 
 # --- exact joins, conflicts ------------------------------------------------------------------------
@@ -302,6 +381,23 @@ def exact_name_address_join(spark, sf_dir):
     return match.exact_hits(asked(spark, sf_dir), base(spark, sf_dir), "exact_hash")
 
 
+@query(ASKED + " SELECT a.bp_id AS req_id, b.bp_id FROM asked a JOIN base b ON a.norm_text=b.norm_text AND a.exact_hash=b.exact_hash WHERE trim(a.name_1)<>'' AND trim(a.address)<>'' AND a.bp_id<>b.bp_id")
+def exact_by_text(spark, sf_dir):
+    return match.by_text(asked(spark, sf_dir), base(spark, sf_dir))
+
+
+_TWICE = ", h AS (SELECT exact_hash AS req_id, bp_id, bp_db_row FROM db WHERE exact_hash IN (SELECT exact_hash FROM db GROUP BY 1 HAVING count(*)>1)), t AS (SELECT * FROM h UNION ALL SELECT req_id, bp_id, bp_db_row+1000000 FROM h WHERE CAST(bp_id AS BIGINT)%2=1)"
+
+
+@query(ROWS + _TWICE + ", r AS (SELECT *, row_number() OVER (PARTITION BY req_id,bp_id ORDER BY bp_db_row)>1 AS again FROM t), p AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY again,bp_db_row) AS place FROM r) SELECT req_id, CAST(place AS INT) AS place, bp_id FROM p WHERE place<=5")
+def distinct_preview(spark, sf_dir):
+    """Previews of exact hits of which some ids come twice: distinct ids first, then repeats."""
+    rows = indexes.base_table(base(spark, sf_dir)).select(F.col("exact_hash").alias("req_id"), "bp_id", F.col("bp_db_row").cast("long").alias("bp_db_row"))
+    hits = rows.join(rows.groupBy("req_id").count().where("count > 1"), "req_id", "left_semi")
+    twice = hits.union(hits.where("cast(bp_id AS bigint) % 2 = 1").withColumn("bp_db_row", F.col("bp_db_row") + 1_000_000))
+    return match.distinct_first(twice).select("req_id", "place", "bp_id")
+
+
 @query(ASKED + ", r AS (SELECT *, row_number() OVER (PARTITION BY req_id,kind ORDER BY bp_id) AS nth FROM hit), p AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY kind,bp_id) AS place FROM r WHERE nth>1) SELECT req_id, CAST(place AS INT) AS place, kind, bp_id FROM p WHERE place<=5")
 def exact_preview(spark, sf_dir):
     return match.previews(asked(spark, sf_dir), base(spark, sf_dir))
@@ -319,7 +415,11 @@ def identity_conflict(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    return match.pairs_in_window(asked(spark, sf_dir), base(spark, sf_dir))
+    return match.pairs_in_window(asked_links(spark, sf_dir), linked(spark, sf_dir))
+
+
+def _found(spark, sf_dir, config=DEFAULT):
+    return match.find(asked_links(spark, sf_dir), linked(spark, sf_dir), config)
 
 
 @query(PAIRS + " SELECT req_id, count(*) AS eligible, sum(cl)::BIGINT AS chars FROM pairs GROUP BY 1")
@@ -337,7 +437,7 @@ def combined_score(spark, sf_dir):
     return match.metrics(_pairs(spark, sf_dir)).select("req_id", "bp_id", "levenshtein", "jaccard", "numeric", "combined")
 
 
-_SC = "WITH p AS (SELECT s_suppkey, c_custkey, regexp_extract_all(lower(s_name)||' '||lower(n.n_name),'[0-9]+') AS qn, regexp_extract_all(lower(c_name)||' '||lower(m.n_name),'[0-9]+') AS cn FROM supplier JOIN nation n ON s_nationkey=n.n_nationkey JOIN customer ON c_nationkey=s_nationkey JOIN nation m ON c_nationkey=m.n_nationkey),"
+_SC = "WITH p AS (SELECT s_suppkey, c_custkey, regexp_extract_all(lower(s_name)||' '||lower(n.n_name),'[0-9]+') AS qn, regexp_extract_all(lower(c_name)||' '||lower(m.n_name),'[0-9]+') AS cn FROM supplier JOIN nation n ON s_nationkey=n.n_nationkey JOIN customer ON c_custkey//15=s_suppkey JOIN nation m ON c_nationkey=m.n_nationkey),"
 
 
 @query(_SC + f" s AS (SELECT *, {_greedy('qn', 'cn', _CHUNK, f'least({_W.format("x")},{_W.format("y")})', 50)} AS nm FROM p) SELECT s_suppkey, c_custkey, {_R2.format(f'nm.m/list_sum(list_transform(qn, lambda c: {_W.format("c")}))*100')} AS numeric FROM s")
@@ -346,9 +446,9 @@ def numeric_weighted(spark, sf_dir):
 
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     chunks = lambda name: T.numeric_tokens(F.concat_ws(" ", F.lower(name), F.lower("n_name")))
-    s = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_nationkey", chunks("s_name").alias("qn"))
-    c = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_nationkey", chunks("c_name").alias("cn"))
-    both = s.join(c, s.s_nationkey == c.c_nationkey).withColumn("nm", S.match_numbers(F.col("qn"), F.col("cn")))
+    s = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", chunks("s_name").alias("qn"))
+    c = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.floor(F.col("c_custkey") / 15).alias("of"), chunks("c_name").alias("cn"))
+    both = s.join(c, s.s_suppkey == c.of).withColumn("nm", S.match_numbers(F.col("qn"), F.col("cn")))
     return both.select("s_suppkey", "c_custkey", T.round2(S.numeric_weighted(F.col("qn"), F.col("cn"), F.col("nm"))).alias("numeric"))
 
 
@@ -357,17 +457,17 @@ _TOP = ", r AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY score
 
 @query(SCORED + _TOP + "5")
 def fuzzy_top5(spark, sf_dir):
-    return match.top(match.matches(_pairs(spark, sf_dir))).select("req_id", "bp_id", "score", "rule", "place")
+    return match.top(_found(spark, sf_dir)).select("req_id", "bp_id", "score", "rule", "place")
 
 
 @query(SCORED + _TOP + "1")
 def best_match(spark, sf_dir):
-    return match.top(match.matches(_pairs(spark, sf_dir)), 1).select("req_id", "bp_id", "score", "rule", "place")
+    return match.top(_found(spark, sf_dir), 1).select("req_id", "bp_id", "score", "rule", "place")
 
 
 @query(_scored(LOOSE) + " SELECT req_id, bp_id, score, rule FROM found")
 def weighted_rule(spark, sf_dir):
-    return match.matches(_pairs(spark, sf_dir), LOOSE)
+    return _found(spark, sf_dir, LOOSE)
 
 
 @query(SCORED + ", r AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY combined DESC, bp_id) AS place FROM s3) SELECT req_id, bp_id, combined, CAST(place AS INT) AS place FROM r WHERE place<=5")
@@ -375,16 +475,30 @@ def nearest5(spark, sf_dir):
     return match.top(match.metrics(_pairs(spark, sf_dir)), 5, "combined").select("req_id", "bp_id", "combined", "place")
 
 
-@query("SELECT ''::VARCHAR AS req_id, ''::VARCHAR AS bp_id, 0.0::DOUBLE AS score, ''::VARCHAR AS rule WHERE false")
+_SETTINGS = (DEFAULT, Config(threshold=70.0, direct=60.0), LOOSE)
+
+
+def _found_sql(config: Config, name: str) -> str:
+    """The rows found at one setting, of the scores of SCORED."""
+    lev, jac, num = config.shares
+    combined = _R2.format(f"levenshtein*{lev!r}::DOUBLE+jaccard*{jac!r}::DOUBLE+numeric*{num!r}::DOUBLE")
+    return f"SELECT '{name}' AS setting, count(*) AS matches, 0::BIGINT AS differing FROM s3 WHERE levenshtein>={config.direct} OR jaccard>={config.direct} OR {combined}>={config.threshold}"
+
+
+@query(SCORED + " " + " UNION ALL ".join(_found_sql(c, f"s{i}") for i, c in enumerate(_SETTINGS)))
 def bound_parity(spark, sf_dir):
-    """What bounded and brute-force matching don't share, at three settings: nothing."""
+    """For three settings, the matches found by bounds over blocks, and in how many they differ from brute force."""
     scored, out = match.metrics(_pairs(spark, sf_dir)).persist(), None
-    pairs = scored.drop("levenshtein", "jaccard", "numeric", "combined")
-    for config in (DEFAULT, Config(threshold=70.0, direct=60.0), LOOSE):
-        a, b = match.matches(pairs, config), match.judged_matches(scored, config)
-        part = a.exceptAll(b).union(b.exceptAll(a))
+    for i, config in enumerate(_SETTINGS):
+        a, b = _found(spark, sf_dir, config), match.judged_matches(scored, config)
+        part = a.agg(F.count("*").alias("matches")).join(a.exceptAll(b).union(b.exceptAll(a)).agg(F.count("*").alias("differing"))).withColumn("setting", F.lit(f"s{i}"))
         out = part if out is None else out.union(part)
-    return out
+    return out.select("setting", "matches", "differing")
+
+
+@query(PAIRS + ", e AS (SELECT req_id, count(*) AS eligible FROM pairs GROUP BY 1), w AS (SELECT a.bp_id AS req_id, count(*) AS outside FROM asked a JOIN base b ON abs(a.text_len-b.text_len) > greatest(12, CAST(floor(a.text_len*0.3+0.5) AS INT)) AND b.norm_text<>'' GROUP BY 1) SELECT a.bp_id AS req_id, coalesce(eligible,0) AS eligible, coalesce(outside,0) AS excluded_by_length FROM asked a LEFT JOIN e ON e.req_id=a.bp_id LEFT JOIN w ON w.req_id=a.bp_id WHERE a.text_len>=3")
+def scan_counters(spark, sf_dir):
+    return match.scan_counts(asked_links(spark, sf_dir), linked(spark, sf_dir)).select("req_id", "eligible", "excluded_by_length")
 
 
 _CHECK = (
@@ -404,15 +518,66 @@ SELECT req_id, CASE WHEN rule='NO_INPUT' THEN 'REJECTED' WHEN rule='SHORT_TEXT'
 
 @query(_CHECK)
 def check_batch(spark, sf_dir):
-    return match.check(asked(spark, sf_dir), base(spark, sf_dir))
+    return match.check(asked_links(spark, sf_dir), linked(spark, sf_dir))
+
+
+_REASON = "CASE rule " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in match.REASONS.items()) + " END"
+
+
+@query(
+    _CHECK.rsplit("\nSELECT req_id, CASE WHEN rule", 1)[0]
+    + """,
+xs AS (SELECT req_id, kind::DOUBLE AS lead, bp_id FROM (SELECT *, row_number() OVER (PARTITION BY req_id,kind ORDER BY bp_id) AS nth FROM hit) WHERE nth>1 UNION ALL SELECT f.req_id, -f.score, f.bp_id FROM found f JOIN d ON d.req_id=f.req_id WHERE NOT d.exact AND d.text_len>=3),
+ys AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY lead,bp_id) AS place FROM xs),
+zs AS (SELECT req_id, string_agg(bp_id,',' ORDER BY place) AS candidate_ids FROM ys WHERE place<=5 GROUP BY 1)
+SELECT d.req_id, """
+    + _REASON
+    + """ AS reason, CASE rule WHEN 'IDENTITY_ONLY' THEN 'IDENTITY_EXACT_INDEX_COMPLETE' WHEN 'FULL_COVERAGE' THEN 'ALL_PARTIES_EVALUATED' END AS pass_basis, candidate_ids FROM d LEFT JOIN zs ON zs.req_id=d.req_id"""
+)
+def check_response(spark, sf_dir):
+    made = match.respond(asked_links(spark, sf_dir), linked(spark, sf_dir))
+    return made.select("req_id", "reason", "pass_basis", F.array_join(F.transform("candidates", lambda c: c["bp_id"]), ",").alias("candidate_ids"))
+
 
+@query()
+def duplicate_groups(spark, sf_dir):
+    """All links against all: the least id that each is connected with. Tested on a small fixture."""
+    return match.duplicate_groups(linked(spark, sf_dir))
+
+
+@query()
+def check_lines(spark, sf_dir):
+    """Every line of every document is a party, and those of documents divisible by 20 are requests: the engine at size.
+
+    SQL scores every pair of the length window, which doesn't end on these; tested on a small fixture.
+    """
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).where("trim(line) <> ''")
+    rows = lines.select(F.concat_ws(":", "doc_id", "at").alias("bp_id"), F.lit("LINE").alias("bp_type_id"), F.lit("").alias("name_1"), F.col("line").alias("address"), F.lit("").alias("ktp_number"), F.lit("").alias("npwp_number"), "doc_id")
+    held = indexes.derive(rows)
+    return match.check(held.where("doc_id % 20 = 0").withColumn("req_id", F.col("bp_id")), held)
 
-@query("SELECT req_id, name_1, address, ktp_number, npwp_number, error FROM (VALUES ('1','A','','','',NULL),('2','','','12','',NULL),('3','','','','','NO_INPUT'),('4','','','','','BAD_JSON')) t(req_id,name_1,address,ktp_number,npwp_number,error)")
+
+@query()
+def synthetic_check(spark, sf_dir):
+    """As many synthetic parties as there are documents, and one of twenty of them perturbed as requests."""
+    rows = synthetic.parties(spark, table(spark, sf_dir, "documents").count())
+    made = synthetic.perturbed(rows.where("cast(bp_id AS bigint) % 20 = 0")).withColumns({"bp_id": F.concat("bp_id", F.lit("p")), "ktp_number": F.lit(""), "npwp_number": F.lit("")})
+    return match.check(indexes.derive(made).withColumn("req_id", F.col("bp_id")), indexes.derive(rows))
+
+
+@query(
+    "SELECT CAST(doc_id AS VARCHAR) AS req_id, CASE doc_id%6 WHEN 0 THEN source WHEN 1 THEN lang ELSE '' END AS name_1, CASE WHEN doc_id%6=5 THEN repeat('a',70000) ELSE '' END AS address,"
+    " CASE WHEN doc_id%6=2 THEN CAST(n_chars AS VARCHAR) WHEN doc_id%6=3 THEN '-' ELSE '' END AS ktp_number, '' AS npwp_number, CASE doc_id%6 WHEN 3 THEN 'NO_INPUT' WHEN 4 THEN 'BAD_JSON' WHEN 5 THEN 'TOO_LARGE' END AS error FROM documents"
+)
 def request_parse(spark, sf_dir):
-    bodies = spark.createDataFrame([("1", '{"name1":" A "}'), ("2", '{"ktp":"12"}'), ("3", '{"ktp":"-"}'), ("4", "{")], "req_id string, body string")
-    parsed = requests.parse(bodies)
-    bad = F.col("error").isNotNull()
-    return parsed.select("req_id", "name_1", "address", *(F.when(bad, F.lit("")).otherwise(F.col(c)).alias(c) for c in ("ktp_number", "npwp_number")), "error")
+    """A body for each document, of six kinds: both aliases of the name, digits, no input, cut JSON, too many bytes."""
+    json = lambda **fields: F.to_json(F.struct(*(c.alias(k) for k, c in fields.items())))
+    kinds = [
+        json(name_1=F.concat(F.lit("  "), "source"), name1=F.lit("other")), json(name_1=F.lit(" "), name1=F.col("lang")), json(ktp=F.col("n_chars").cast("string")),
+        json(ktp=F.lit("-")), F.lit('{"name_1": "x"'), json(address=F.repeat(F.lit("a"), 70_000)),
+    ]
+    body = F.coalesce(*(F.when(F.col("doc_id") % 6 == i, k) for i, k in enumerate(kinds)))
+    return requests.parse(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("req_id"), body.alias("body")))
 
 
 # --- delta -----------------------------------------------------------------------------------------
@@ -483,9 +648,27 @@ def length_histogram(spark, sf_dir):
     return base(spark, sf_dir).groupBy("text_len").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy("text_len")))
 
 
-@query(BASE + " SELECT bp_id, c, count(*) AS n FROM (SELECT bp_id, unnest(string_split(norm_text,'')) AS c FROM base WHERE norm_text<>'') GROUP BY 1,2")
+_BINS = " 0123456789abcdefghijklmnopqrstuvwxyz"
+
+
+@query(BASE + f" SELECT bp_id, array_to_string(list_transform(string_split('{_BINS}',''), lambda c: length(norm_text)-length(replace(norm_text,c,''))),',') AS bins FROM base")
 def char_histogram(spark, sf_dir):
-    return base(spark, sf_dir).where("norm_text <> ''").select("bp_id", F.explode(F.split("norm_text", "")).alias("c")).where("c <> ''").groupBy("bp_id", "c").agg(F.count("*").alias("n"))
+    """Counts of space, ten digits and 26 letters."""
+    bins = [F.length("norm_text") - F.length(F.translate("norm_text", c, "")) for c in _BINS]
+    return base(spark, sf_dir).select("bp_id", F.concat_ws(",", *(x.cast("string") for x in bins)).alias("bins"))
+
+
+_CODE = f"(strpos('{_BINS}',substring(norm_text,i,1))-1)*37+strpos('{_BINS}',substring(norm_text,i+1,1))-1"
+
+
+@query(LINKED + f" SELECT bp_id, CAST(place AS INT) AS place, count(*) AS n FROM (SELECT bp_id, unnest(list_transform(range(1,length(norm_text)), lambda i: ({_CODE})%256)) AS place FROM base) GROUP BY 1,2")
+def party_bigrams(spark, sf_dir):
+    """Bigram counts of each link in 256 places, as the bounds use them."""
+    chars = linked(spark, sf_dir).where("length(norm_text) >= 2").select("bp_id", F.posexplode(F.split("norm_text", "")).alias("at", "c")).where("c <> ''")
+    number = F.element_at(F.create_map(*(F.lit(x) for i, c in enumerate(_BINS) for x in (c, i))), F.col("c"))
+    pairs = chars.select("bp_id", "at", number.alias("code"))
+    nxt = pairs.select("bp_id", (F.col("at") - 1).alias("at"), F.col("code").alias("after"))
+    return pairs.join(nxt, ["bp_id", "at"]).groupBy("bp_id", ((F.col("code") * 37 + F.col("after")) % 256).alias("place")).agg(F.count("*").alias("n"))
 
 
 @query(BASE + " SELECT bigram, count(*) AS n FROM (SELECT unnest(list_transform(range(1,length(norm_text)), lambda i: substring(norm_text,i,2))) AS bigram FROM base) GROUP BY 1")
@@ -502,9 +685,16 @@ def rate_limit_fixed(spark, sf_dir):
     return control.over_rate(table(spark, sf_dir, "events"), "event_type", 1).select("event_id", "event_type", "nth")
 
 
-@query()
+# next: of each moment, the first event a minute or more later; an admitted event leads to that one
+_ROLLING = """WITH RECURSIVE e AS (SELECT user_id, ts, min(event_id) AS event_id FROM events GROUP BY 1,2),
+nx AS (SELECT a.user_id, a.ts, a.event_id, b.ts AS nts FROM e a ASOF LEFT JOIN e b ON a.user_id=b.user_id AND a.ts + INTERVAL 60 SECOND <= b.ts),
+ad AS (SELECT nx.* FROM nx JOIN (SELECT user_id, min(ts) AS ts FROM e GROUP BY 1) f USING (user_id, ts) UNION ALL SELECT nx.* FROM ad JOIN nx ON nx.user_id=ad.user_id AND nx.ts=ad.nts)
+SELECT v.event_id, ad.event_id=v.event_id AS admitted, 1::BIGINT AS used, CAST(ceil((epoch_us(ad.ts)+60000000-epoch_us(v.ts))/1000000.0) AS BIGINT) AS pause_seconds FROM events v ASOF JOIN ad ON v.user_id=ad.user_id AND v.ts >= ad.ts"""
+
+
+@query(_ROLLING)
 def rate_budget_rolling(spark, sf_dir):
-    return control.rolling_budget(table(spark, sf_dir, "events"), "event_type", 1)
+    return control.rolling_budget(table(spark, sf_dir, "events"), "user_id", 1)
 
 
 @query("WITH r AS (SELECT value, row_number() OVER (ORDER BY value)-1 AS place, count(*) OVER () AS n FROM events WHERE value IS NOT NULL) SELECT s AS share, value FROM r JOIN (VALUES (0.5::DOUBLE),(0.95::DOUBLE),(1.0::DOUBLE)) t(s) ON place=least(n-1,CAST(floor(s*n) AS BIGINT))")
@@ -517,12 +707,12 @@ def scan_budget_prefix(spark, sf_dir):
     return control.scan_prefix(base(spark, sf_dir).groupBy("len_bucket", "token_count").agg(F.count("*").alias("n")), 300)
 
 
-@query(BASE + _DIGEST + ", m AS (SELECT 'total_bp_rows' AS key, CAST(count(*) AS VARCHAR) AS value FROM base UNION ALL SELECT 'total_ktp_rows', CAST(count(*) FILTER (ktp<>'') AS VARCHAR) FROM base UNION ALL SELECT 'source_digest', sha256(string_agg(h,'' ORDER BY block)) FROM blocks UNION ALL SELECT 'sync_state','READY') SELECT key, value FROM m")
+@query(BASE + ", m AS (SELECT 'total_bp_rows' AS key, CAST(count(*) AS VARCHAR) AS value FROM base UNION ALL SELECT 'total_ktp_rows', CAST(count(*) FILTER (ktp<>'') AS VARCHAR) FROM base UNION ALL SELECT 'source_digest', sha256(string_agg(bp_id||chr(31)||row_hash||chr(10),'' ORDER BY bp_id)) FROM base UNION ALL SELECT 'sync_state','READY') SELECT key, value FROM m")
 def meta_map(spark, sf_dir):
     rows = base(spark, sf_dir)
     counts = rows.agg(F.count("*").cast("string").alias("total_bp_rows"), F.count_if(F.col("ktp") != "").cast("string").alias("total_ktp_rows"))
     listed = counts.select(F.explode(F.create_map(F.lit("total_bp_rows"), "total_bp_rows", F.lit("total_ktp_rows"), "total_ktp_rows", F.lit("sync_state"), F.lit("READY"))).alias("key", "value"))
-    return listed.union(indexes.digest(rows).select(F.lit("source_digest"), "source_digest"))
+    return listed.union(spark.createDataFrame([("source_digest", indexes.ordered_digest(rows))], "key string, value string"))
 
 
 @query("WITH " + PARTY + r" SELECT bp_id, bp_type_id, translate(name_1,chr(9)||chr(13)||chr(10),'   ') AS name_1, translate(address,chr(9)||chr(13)||chr(10),'   ') AS address, ktp_number AS ktp_digits, npwp_number AS npwp_digits FROM party")

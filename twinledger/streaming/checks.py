@@ -19,10 +19,12 @@ def rates(events: DataFrame, client: str, limit: int) -> DataFrame:
 def check_stream(requests: DataFrame, root: str, out: str, checkpoint: str, config: Config = DEFAULT) -> StreamingQuery:
     """Decide each batch of requests against the generation that is published when the batch starts."""
 
+    follower = sync.Follower(requests.sparkSession, root)
+
     def batch(rows: DataFrame, number: int) -> None:
-        manifest, base = sync.read_active(rows.sparkSession, root)
+        manifest, base = follower.rows()
         derived = indexes.derive(base.where("not is_deleted"))
-        made = match.check(indexes.derive(rows), derived, config).withColumn("sync_id", F.lit(manifest["sync_id"]))
+        made = match.check(indexes.derive(rows).persist(), derived, config).withColumn("sync_id", F.lit(manifest["sync_id"]))
         made.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
