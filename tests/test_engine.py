@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from twinledger.functions import text as T
 from twinledger.operators import bounds, control, indexes, match, sync
 from twinledger.plans.config import Config
+from twinledger.service import Service
 from twinledger.sources import packed, requests, synthetic
 from twinledger.streaming import checks
 
@@ -243,3 +244,35 @@ def test_cursor():
     for secret, now, bound in ((b"x", 5, {}), (b"k", 11, {}), (b"k", 5, {"query": "r"})):
         with pytest.raises(ValueError):
             control.verify(cursor, secret, now, bound)
+
+
+def test_service(spark, tmp_path):
+    root = str(tmp_path / "gen")
+    settings = {"SIMILARITY_THRESHOLD": "92", "FULL_SCOPE_CHUNK_ROWS": "2", "SIMILARITY_WEIGHT_NUMERIC": ""}
+    service = Service(spark, root, settings, b"k")
+    assert not service.health()["ok"]
+    sync.publish(spark, root, parties(spark, *((str(i), "EN", f"Warung {w}", f"Jl Teratai {i}", str(i) * 8, "") for i, w in enumerate(("Satu", "Dua", "Tiga", "Empat", "Lima")))), "s1")
+    service = Service(spark, root, settings, b"k")
+    assert service.health() == {"ok": True, "version": "1", "sync_id": "s1", "sync_state": "READY", "total_bp_rows": 5}
+    bodies = spark.createDataFrame([("a", '{"ktp":"1111-1111"}'), ("b", "{"), ("c", '{"name1":"Warung Tigo","address":"Jl Teratai 2"}'), ("d", "x" * 70_000)], "req_id string, body string")
+    got = {r.req_id: (r.status, json.loads(r.body)) for r in service.check(bodies).collect()}
+    assert {k: v[0] for k, v in got.items()} == {"a": 200, "b": 400, "c": 200, "d": 413}
+    assert got["a"][1]["best_bp_id"] == "1" and got["c"][1]["rule"] == "LEVENSHTEIN" and got["c"][1]["sync_id"] == "s1" and "11111111" not in str(got)
+    body, cursor, steps = '{"name1":"qqqqq zzzzz","address":"xxxxx 99"}', None, 0
+    while (out := service.scan(body, cursor))["decision"] == "INCONCLUSIVE":
+        cursor, steps = out["cursor"], steps + 1
+    assert out["decision"] == "PASS" and steps == 2
+    with pytest.raises(ValueError):
+        service.scan('{"ktp":"1"}')
+
+
+def test_settings_and_time_limits(spark):
+    got = Config.from_settings({"SIMILARITY_THRESHOLD": "70", "SIMILARITY_WEIGHT_JACCARD": "0", "LENGTH_TOLERANCE_MIN_CHARS": "5"})
+    assert (got.threshold, got.weights, got.tolerance_chars, got.direct) == (70.0, (60.0, 0.0, 10.0), 5, 80.0)
+    for bad in ({"SIMILARITY_THRESHOLD": "nan"}, {"SIMILARITY_THRESHOLD": "x"}, {"RATE_LIMIT_PER_MIN": "-1"}):
+        with pytest.raises(ValueError):
+            Config.from_settings(bad)
+    assert control.within(spark, 60, lambda: spark.range(3).count()) == 3
+    with pytest.raises(TimeoutError):
+        control.within(spark, 0.5, lambda: spark.range(8, numPartitions=8).select(F.expr("aggregate(sequence(1, 200000000), 0L, (a, x) -> a + x)")).collect())
+    assert spark.range(3).count() == 3

@@ -6,12 +6,15 @@ import base64
 import hashlib
 import hmac
 import json
+import threading
 import time
+import uuid
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinledger.functions import text as T
@@ -19,6 +22,8 @@ from twinledger.operators import indexes, match
 from twinledger.operators.indexes import numbered
 from twinledger.plans.config import DEFAULT, Config
 
+T_ = TypeVar("T_")
+
 
 def over_rate(events: DataFrame, client: str, limit: int) -> DataFrame:
     """Events beyond the limit of their client in their minute, in the order of time and id."""
@@ -93,7 +98,7 @@ def scan_prefix(groups: DataFrame, budget: int) -> DataFrame:
     return groups.withColumn("before", F.sum("n").over(order) - F.col("n")).where(F.col("before") < budget)
 
 
-def scan_step(request: DataFrame, base: DataFrame, state: dict | None, budget: int, config: Config = DEFAULT, most_rows: int = 6000) -> dict:
+def scan_step(request: DataFrame, base: DataFrame, state: dict | None, budget: int, config: Config = DEFAULT) -> dict:
     """One bounded step of a resumable scan of base (with bp_db_row) for one request.
 
     At most `budget` rows in plan order, from state["scanned"] on.  decision: FAIL with the first match in
@@ -104,7 +109,7 @@ def scan_step(request: DataFrame, base: DataFrame, state: dict | None, budget: i
     reach = request.select(T.max_len_diff(F.col("text_len"), config.tolerance_percent, config.tolerance_chars)).first()[0]
     low, high = max(0, q.text_len - reach) // 5, (q.text_len + reach) // 5
     groups = indexes.ranges(base, "len_bucket", "token_count").where(F.col("len_bucket").between(low, high))
-    plan = scan_plan(groups, q.text_len, most_rows)
+    plan = scan_plan(groups, q.text_len, config.max_rows)
     total = plan.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     at, compared = (state or {}).get("scanned", 0), (state or {}).get("compared", 0)
     if state and state.get("total", total) != total:
@@ -125,18 +130,43 @@ def scan_step(request: DataFrame, base: DataFrame, state: dict | None, budget: i
     return out | {"decision": "PASS" if end == total else "INCONCLUSIVE"}
 
 
-def resume(request: DataFrame, base: DataFrame, secret: bytes, sync_id: str, cursor: str | None = None, budget: int = 3000, config: Config = DEFAULT, now: float | None = None, ttl: int = 3600) -> dict:
+def resume(request: DataFrame, base: DataFrame, secret: bytes, sync_id: str, cursor: str | None = None, budget: int | None = None, config: Config = DEFAULT, now: float | None = None, ttl: int = 3600) -> dict:
     """scan_step with a signed cursor, bound to the request's inputs, the settings and the generation."""
     now = time.time() if now is None else now
     texts = request.select("norm_text", "ktp", "npwp").first()
     bound = {"query": hashlib.sha256(json.dumps([*texts, str(config)]).encode()).hexdigest(), "sync_id": sync_id}
     state = verify(cursor, secret, now, bound) if cursor else None
-    out = scan_step(request, base, state, budget, config)
+    out = scan_step(request, base, state, budget or config.chunk_rows, config)
     if out["decision"] == "INCONCLUSIVE":
         out["cursor"] = sign(bound | {k: out[k] for k in ("scanned", "compared", "total")} | {"expires": now + ttl}, secret)
     return out
 
 
+def within(spark: SparkSession, seconds: float, action: Callable[[], T_]) -> T_:
+    """What action returns; its Spark jobs are cancelled after so many seconds, and that is an error, never part of a result."""
+    context, group, late = spark.sparkContext, uuid.uuid4().hex, threading.Event()
+
+    def stop() -> None:
+        late.set()
+        context.cancelJobGroup(group)
+
+    context.setJobGroup(group, "bounded by time", interruptOnCancel=True)
+    timer = threading.Timer(seconds, stop)
+    timer.start()
+    try:
+        out = action()
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"no result within {seconds} s") from e
+        raise
+    finally:
+        timer.cancel()
+        context.setLocalProperty("spark.jobGroup.id", None)
+    if late.is_set():
+        raise TimeoutError(f"no result within {seconds} s")
+    return out
+
+
 def sign(state: dict, secret: bytes) -> str:
     """A resumable scan's cursor: JSON with an HMAC-SHA256, base64url."""
     body = json.dumps(state, sort_keys=True, separators=(",", ":")).encode()
