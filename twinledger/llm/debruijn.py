@@ -1,14 +1,17 @@
 """Operator 10, substring dedup by De Bruijn compaction of repeated token k-mers.
 
 An edge is a window of `width` words, from the node of its first width - 1 words to that of its
-last.  Only edges that occur more than once matter, and few do, so they are sought in two steps.
+last.  Only edges that occur more than once matter, and few do, so they are sought in steps.
 Each window has a seed, the least hash among its runs of `seed` words; equal windows have equal
 seeds, and neighbouring windows mostly the same one, so the seeds are a small part of the windows.
-Windows whose seed occurs once are left.  Of the rest, consecutive windows of one seed are a stretch,
-a path of at most `width` edges, and stretches meet by a 128-bit hash of all their words: the first
-in (document, position) is the source, the others are repeats.  Only the first of equal stretches
-has windows that may come first anywhere, so its windows alone meet those of other stretches, by a
-96-bit hash.  Stretches make fewer rows, and any division into them gives the same repeats.
+Seeds travel as packed entries with their document; documents join the seeds of theirs that occur
+more than once.  Consecutive windows of one such seed are a stretch, a path of at most `width` edges.
+
+Stretches meet by their seed.  Equal ones, by a 128-bit hash of all their words, are one path: the
+first in (document, position) is the source, the others are repeats.  Where all stretches of a seed
+are equal and none holds an edge twice, the path has no branch, and its edges need no comparison.
+Else the path may branch, and each edge of the first of equal stretches meets those of the others,
+by a 96-bit hash.  Any division into stretches gives the same repeats.
 
 A batch settles its own repeats and sends only the first of each stretch, so a passage in a third of
 all documents costs a few rows for each batch.  A repeat keeps its source coordinates.  Where the next
@@ -28,18 +31,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinledger.llm import wordhash
-from twinledger.llm.stored import BROADCAST_ROWS, cut, repeated
+from twinledger.llm.stored import BROADCAST_ROWS, cut, from_planes, planes
 
 U = np.uint64
 SEED = 6
-#: Seeds that the driver hands to the tasks, by 4 bytes each; with more of them, documents join them by a shuffle.
-SHARED_SEEDS = 2_000_000
 _TABLE = wordhash.byte_table(31, False)
 
 
 def _order(docs: DataFrame) -> DataFrame:
-    """doc_id, a key that rows share only if they are equal, and the text. Null doc_ids come first."""
-    return docs.select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc"), "text")
+    """doc_id, a hash of the text, which orders rows that share a doc_id, and the text. Null doc_ids come first."""
+    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("crc"), "text")
 
 
 def _seeds(found: wordhash.Words, width: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
@@ -63,52 +64,106 @@ def _seeds(found: wordhash.Words, width: int) -> tuple[np.ndarray, np.ndarray, t
     return start, least[start], (places, runs[places])
 
 
-def _seed_lists(width: int):
+#: Entries of one bucket of seeds.
+BUCKET_ENTRIES = 1_000_000
+
+
+def _low(seed: np.ndarray) -> np.ndarray:
+    """Half of a seed, by which a row names it; one that another seed shares only adds stretches."""
+    return (seed >> U(32)).astype(np.uint32)
+
+
+def _seed_entries(width: int, buckets: int, owner_bytes: int):
+    """Packed (low half of the seed, owner) for each bucket of seeds; a document gives each of its seeds once."""
+    mask = U((1 << 8 * owner_bytes) - 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            names = batch.column("owner").to_numpy().view(U) & mask
             for row, to, buf, offs in wordhash.texts(batch.column("text")):
                 found = wordhash.Words(buf, offs, _TABLE)
-                _, _, places = _seeds(found, width)
-                ends = np.searchsorted(places[0], found.first)
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), wordhash.signed(places[1]))
-                part = batch.slice(row, to - row)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("crc"), lists], ["doc_id", "crc", "seeds"])
+                _, _, (at, seed) = _seeds(found, width)
+                owner = names[row + np.searchsorted(found.first, at, "right") - 1]
+                bucket = (seed & U(0xFFFFFFFF)) % U(buckets)
+                order = np.lexsort((owner, seed, bucket))
+                bucket, seed, owner = bucket[order], seed[order], owner[order]
+                new = np.ones(len(seed), bool)
+                new[1:] = (seed[1:] != seed[:-1]) | (owner[1:] != owner[:-1])
+                # a seed that one document has twice counts as two
+                twice = np.zeros(len(seed), bool)
+                twice[:-1] = new[:-1] & ~new[1:]
+                keep = new | np.concatenate([[False], twice[:-1]])
+                bucket, seed, owner = bucket[keep], seed[keep], owner[keep]
+                ends = np.searchsorted(bucket, np.arange(buckets + 1, dtype=U))
+                full = np.flatnonzero(np.diff(ends))
+                blocks = [planes(_low(seed[ends[b] : ends[b + 1]]).astype(U), 4) for b in full], [planes(owner[ends[b] : ends[b + 1]], owner_bytes) for b in full]
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array(x, pa.binary()) for x in blocks)], ["bucket", "seeds", "owners"])
 
     return run
 
 
-def _stretches(width: int, shared: np.ndarray | None):
-    """Stretches whose seed is in shared (high halves of seeds), or if that is None among those that the row
-    names: the first of equal ones with the hashes of its windows, and spans of those repeated here."""
+def _repeated_seeds(owner_bytes: int):
+    """(owner, seed) of the entries of one bucket whose seed has another one."""
+
+    def pick(table: pa.Table) -> pa.Table:
+        joined = lambda name, width: np.concatenate([from_planes(np.frombuffer(x.as_buffer(), np.uint8), width) for x in table.column(name)])
+        seed, owner = joined("seeds", 4), joined("owners", owner_bytes)
+        order = np.lexsort((owner, seed))
+        seed, owner = seed[order], owner[order]
+        again = np.zeros(len(seed), bool)
+        again[1:] = seed[1:] == seed[:-1]
+        again[:-1] |= again[1:]
+        again[1:] &= (owner[1:] != owner[:-1]) | (seed[1:] != seed[:-1])
+        return pa.table({"owner": pa.array(owner[again].view(np.int64)), "seed": pa.array(seed[again].astype(np.uint32).view(np.int32))})
+
+    return pick
+
+
+def _named(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, crc and text of the documents that hold repeated seeds, with the low halves of these."""
+    own = _order(docs).withColumn("owner", F.xxhash64("doc_id", "crc"))
+    count, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    owner_bytes = min(8, (max(1, count).bit_length() + 21) // 8)
+    buckets = max(1, (size or 0) // 40 // BUCKET_ENTRIES)
+    entries = own.select("owner", "text").mapInArrow(_seed_entries(width, buckets, owner_bytes), "bucket int, seeds binary, owners binary")
+    found = entries.groupBy("bucket").applyInArrow(_repeated_seeds(owner_bytes), "owner long, seed int")
+    named = found.groupBy("owner").agg(F.collect_list("seed").alias("seeds"))
+    mask = (1 << 8 * owner_bytes) - 1 if owner_bytes < 8 else -1
+    return own.withColumn("owner", F.col("owner").bitwiseAND(F.lit(mask))).join(named, "owner").select("doc_id", "crc", "text", "seeds")
+
+
+def _stretches(width: int):
+    """Stretches of the seeds that a row names: the first of equal ones with the hashes of its windows, and spans
+    of those repeated here."""
 
     def of_row(d: np.ndarray, seed: np.ndarray) -> np.ndarray:
-        return wordhash.mix(seed ^ wordhash.mix(d.astype(U) + U(1)))
+        return wordhash.mix(seed.astype(U) ^ (d.astype(U) << U(32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, crcs = batch.column("doc_id"), batch.column("crc").to_numpy()
             ids = docs.fill_null(0).to_numpy(zero_copy_only=False)
             null = np.asarray(docs.is_null())
-            parts, known = [], shared
-            if known is None:
-                named = batch.column("seeds")
-                d = np.repeat(np.arange(len(named)), named.value_lengths().fill_null(0).to_numpy())
-                known = np.sort(of_row(d, named.flatten().to_numpy().view(U)))
+            named = batch.column("seeds")
+            d = np.repeat(np.arange(len(named)), named.value_lengths().fill_null(0).to_numpy())
+            known = np.sort(of_row(d, named.flatten().to_numpy().view(np.uint32)))
+            parts, held = [], 0
             for row, to, buf, offs in wordhash.texts(batch.column("text")):
                 found = wordhash.Words(buf, offs, _TABLE)
                 start, seed, _ = _seeds(found, width)
                 if not len(start) or not len(known):
                     continue
                 d = np.searchsorted(found.first, start, "right") - 1
-                sought = (seed >> U(32)).astype(np.uint32) if shared is not None else of_row(row + d, seed)
+                sought = of_row(row + d, _low(seed))
                 hit = known[np.minimum(np.searchsorted(known, sought), len(known) - 1)] == sought
                 start, d, seed = start[hit], d[hit], seed[hit]
                 one, _ = found.runs(width, 33)
                 two, _ = found.runs(width, 34)
                 parts.append((row + d, start - found.first[d], seed, one[start], two[start]))
-                if sum(len(x[0]) for x in parts) >= _SETTLED:
+                held += len(start)
+                if held >= _SETTLED:
                     yield from settle(docs, crcs, ids, null, parts)
-                    parts = []
+                    parts, held = [], 0
             if parts:
                 yield from settle(docs, crcs, ids, null, parts)
 
@@ -129,7 +184,13 @@ def _stretches(width: int, shared: np.ndarray | None):
         group[order] = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
         new = np.sort(order[fresh])
         same = (ids[d] == ids[d[group]]) & (null[d] == null[d[group]]) & (crcs[d] == crcs[d[group]]) & (pos == pos[group])
-        yield _rows(docs, crcs, d[new], pos[new], n[new], first[new], last[new], _binary(packed, head[new], n[new]), None, None)
+        # a stretch that holds an edge twice has a branch of its own
+        whole = np.lexsort((one, np.repeat(np.arange(len(head)), n)))
+        near = one[whole][1:] == one[whole][:-1]
+        of = np.repeat(np.arange(len(head)), n)[whole]
+        own = np.zeros(len(head), bool)
+        own[of[1:][near & (of[1:] == of[:-1])]] = True
+        yield _rows(docs, crcs, d[new], pos[new], n[new], first[new], last[new], _binary(packed, head[new], n[new]), None, None, seed[head[new]], own[new])
         # compaction of what is settled here: neighbours with neighbouring sources
         x = np.flatnonzero(~same)
         g = group[x]
@@ -138,7 +199,7 @@ def _stretches(width: int, shared: np.ndarray | None):
         path = np.flatnonzero(~on)
         size = np.add.reduceat(n[x], path) if len(x) else n[x]
         x, g = x[path], g[path]
-        yield _rows(docs, crcs, d[x], pos[x], size, None, None, None, d[g], pos[g])
+        yield _rows(docs, crcs, d[x], pos[x], size, None, None, None, d[g], pos[g], None, None)
 
     return run
 
@@ -191,48 +252,40 @@ _EXPANDED = ["doc_id", "crc", "pos", "n", "one", "two", "src_id", "src_pos"]
 _ROW = "doc_id long, crc long, pos int, n long, one long, two long, src_id long, src_pos int"
 
 
-def _rows(docs: pa.Array, crcs: np.ndarray, d, pos, n, one, two, windows, src, src_pos) -> pa.RecordBatch:
+def _rows(docs: pa.Array, crcs: np.ndarray, d, pos, n, one, two, windows, src, src_pos, seed, loops) -> pa.RecordBatch:
     def longs(x):
         return pa.nulls(len(d), pa.int64()) if x is None else wordhash.signed(x)
 
     source = pa.nulls(len(d), pa.int64()) if src is None else docs.take(pa.array(src))
     at = pa.nulls(len(d), pa.int32()) if src is None else pa.array(src_pos.astype(np.int32))
     windows = pa.nulls(len(d), pa.binary()) if windows is None else windows
-    columns = [docs.take(pa.array(d)), pa.array(crcs[d]), pa.array(pos.astype(np.int32)), pa.array(n), longs(one), longs(two), source, at, windows]
-    return pa.RecordBatch.from_arrays(columns, [*_EXPANDED, "windows"])
+    columns = [docs.take(pa.array(d)), pa.array(crcs[d]), pa.array(pos.astype(np.int32)), pa.array(n), longs(one), longs(two), source, at, windows, longs(seed), pa.nulls(len(d), pa.bool_()) if loops is None else pa.array(loops)]
+    return pa.RecordBatch.from_arrays(columns, [*_EXPANDED, "windows", "seed", "loops"])
 
 
-def _sourced(found: DataFrame) -> DataFrame:
-    """found with the place where the same (one, two) comes first as source, null for that place itself.
+def _sourced(found: DataFrame, *keys: str) -> DataFrame:
+    """found with the place where the same keys come first as source, null for that place itself.
 
-    Spans that are settled have no hash and keep their source: a hash of their own deals them out.
+    Spans that are settled have no hash (two is null) and keep their source.
     """
-    key = F.coalesce("one", F.xxhash64("doc_id", "crc", "pos"))
-    first = Window.partitionBy("key", "two").orderBy("doc_id", "crc", "pos")
-    met = found.withColumn("key", key).withColumn("source", F.first(F.struct("doc_id", "crc", "pos")).over(first))
+    first = Window.partitionBy(*keys).orderBy("doc_id", "crc", "pos")
+    met = found.withColumn("source", F.first(F.struct("doc_id", "crc", "pos")).over(first))
     own = F.col("source.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("source.crc") == F.col("crc")) & (F.col("source.pos") == F.col("pos"))
     src = {c: F.when(F.col("two").isNull(), F.col(c)).when(~own, F.col(f"source.{f}")) for c, f in (("src_id", "doc_id"), ("src_pos", "pos"))}
-    return met.withColumns(src).drop("key", "source")
+    return met.withColumns(src).drop("source")
 
 
 def repeated_spans(docs: DataFrame, width: int = 20) -> DataFrame:
     """(doc_id, crc, pos, n, src_id, src_pos): n consecutive repeated windows from word pos on, and where
-    their words stood first. crc is that of the text, should rows share a doc_id."""
-    own = _order(docs)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    seeds = own.mapInArrow(_seed_lists(width), "doc_id long, crc long, seeds array<long>")
-    shared = cut(repeated(seeds, "seeds", size // 40))
-    if shared.count() <= SHARED_SEEDS:
-        halves = shared.select(F.shiftrightunsigned("hash", 32).alias("half")).distinct().toArrow()
-        known = np.sort(halves.column("half").to_numpy().astype(np.uint32))
-        found = own.mapInArrow(_stretches(width, known), f"{_ROW}, windows binary")
-    else:
-        each = seeds.select(F.col("doc_id").alias("of"), F.col("crc").alias("of_crc"), F.explode(F.array_distinct("seeds")).alias("hash"))
-        named = each.join(shared, "hash", "left_semi").groupBy("of", "of_crc").agg(F.collect_set("hash").alias("seeds"))
-        both = own.join(named, own.doc_id.eqNullSafe(named["of"]) & (own.crc == named["of_crc"]))
-        found = both.select("doc_id", "crc", "text", "seeds").mapInArrow(_stretches(width, None), f"{_ROW}, windows binary")
-    stretches = _sourced(found).withColumn("windows", F.when(F.col("src_pos").isNull(), F.col("windows")))
-    repeats = _sourced(stretches.mapInArrow(_expand, _ROW)).where("src_pos is not null")
+    their words stood first. crc is a hash of the text, should rows share a doc_id."""
+    # a span that is settled is dealt out by a hash of its own
+    dealt = lambda c: F.coalesce(c, F.xxhash64("doc_id", "crc", "pos")).alias("key")
+    found = _named(docs, width).mapInArrow(_stretches(width), f"{_ROW}, windows binary, seed long, loops boolean")
+    met = found.select(dealt(F.col("seed")), *_EXPANDED, "windows", "loops")
+    branch = F.col("loops") | (F.min("one").over(Window.partitionBy("key")) != F.max("one").over(Window.partitionBy("key"))) | (F.min("two").over(Window.partitionBy("key")) != F.max("two").over(Window.partitionBy("key")))
+    stretches = _sourced(met.withColumn("branch", branch), "key", "one", "two").withColumn("windows", F.when(F.col("src_pos").isNull() & F.col("branch"), F.col("windows")))
+    edges = stretches.where("src_pos is not null or windows is not null").select(*_EXPANDED, "windows").mapInArrow(_expand, _ROW)
+    repeats = _sourced(edges.select(dealt(F.col("one")), *_EXPANDED), "key", "two").where("src_pos is not null")
     along = Window.partitionBy("doc_id", "crc").orderBy("pos", "n")
     last = F.lag(F.struct((F.col("pos") + F.col("n")).alias("pos"), "src_id", (F.col("src_pos") + F.col("n")).alias("src_pos"))).over(along)
     joins = F.coalesce((last["pos"] == F.col("pos")) & last["src_id"].eqNullSafe(F.col("src_id")) & (last["src_pos"] == F.col("src_pos")), F.lit(False))
@@ -278,7 +331,7 @@ def remove_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
     Every word that a window of `width` words covers is removed if the same words also start
     earlier: in a smaller doc_id (null is smallest), or earlier in the document.  Null and empty
     texts have no words.  A row that repeats both doc_id and text stands at the same place as the
-    other and gets the same result; rows that share only a doc_id follow in the order of their CRC-32.
+    other and gets the same result; rows that share only a doc_id follow in the order of a hash of their texts.
     """
     spans = cut(covers(repeated_spans(docs, width), width))
     if (spans.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_ROWS:

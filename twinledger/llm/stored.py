@@ -1,35 +1,28 @@
-"""What the operators share: cut lineage, size-checked broadcasts, repeated hashes, connected components."""
+"""What the operators share: cut lineage, size-checked broadcasts, wrapped rows, packed entries, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinledger.llm import wordhash
+from twinledger.plans.lineage import cut, shared_dir
+
+__all__ = ["components", "cut", "from_planes", "planes", "shared_dir", "small", "unwrapped", "wrapped"]
 
 #: Rows of at most a few longs; a side with more is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Hashes that one group of `repeated` sorts.
-BUCKET_HASHES = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where the session names none, a temporary one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="twinledger"))
-    return context.getCheckpointDir()
+def wrapped(docs: DataFrame, *needed: str) -> DataFrame:
+    """docs as one column `row` beside the columns needed, so that no name of docs meets one of an operator."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *needed)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def unwrapped(rows: DataFrame, *made: str) -> DataFrame:
+    """The columns of the wrapped docs, and the columns made, which replace those of docs that have their name."""
+    names = [f.name for f in rows.schema["row"].dataType.fields if f.name not in made]
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in names), *made)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -37,36 +30,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def buckets_for(hashes: int) -> int:
-    return max(1, -(-hashes // BUCKET_HASHES))
-
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The low bytes of 64-bit values, all first bytes before all second ones: sorted values then compress."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T[::-1]).tobytes()
 
-def repeated(df: DataFrame, column: str, hashes: int) -> DataFrame:
-    """Values (column hash) that the array column has more than once, over all rows. hashes: about how many there are.
-
-    A batch sends each value at most twice, so a value that a third of all rows share costs two
-    entries a batch; values travel as packed blocks, one for each bucket of the hash space.
-    """
-    n = buckets_for(hashes)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
-            values, counts = np.unique(flat, return_counts=True)
-            values = np.repeat(values, np.minimum(counts, 2))
-            place = (wordhash.mix(values.view(np.uint64)) % np.uint64(n)).astype(np.int64)
-            order = np.argsort(place, kind="stable")
-            values, ends = values[order], np.searchsorted(place[order], np.arange(n + 1))
-            full = np.flatnonzero(np.diff(ends))
-            blocks = [values[ends[b] : ends[b + 1]].tobytes() for b in full]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blocks, pa.binary())], ["bucket", "block"])
-
-    def pick(table: pa.Table) -> pa.Table:
-        values = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("block")]))
-        again = np.unique(values[1:][values[1:] == values[:-1]])
-        return pa.table({"hash": pa.array(again)})
-
-    return df.select(column).mapInArrow(pack, "bucket int, block binary").groupBy("bucket").applyInArrow(pick, "hash long")
+def from_planes(data: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((data.size // width, 8), np.uint8)
+    out[:, :width] = data.reshape(width, -1)[::-1].T
+    return out.view("<u8").ravel()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -78,12 +50,11 @@ def components(edges: DataFrame) -> DataFrame:
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
     label = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("root")))
     while True:
-        near = both.join(label.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
-        step = label.join(near, "id").select("id", F.col("root").alias("was"), F.least("root", "near").alias("to"))
-        jump = label.select(F.col("id").alias("to"), F.col("root").alias("far"))
+        known = small(label)
+        near = both.join(known.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
+        step = near.join(known, "id").select("id", F.col("root").alias("was"), F.least("root", "near").alias("to"))
+        jump = known.select(F.col("id").alias("to"), F.col("root").alias("far"))
         moved = cut(step.join(jump, "to", "left").select("id", "was", F.least("to", "far").alias("root")))
         label = moved.select("id", "root")
         if moved.where("was <> root").isEmpty():
             return label
-
-

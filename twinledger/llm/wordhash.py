@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 U = np.uint64
 _R = 0x9E3779B97F4A7C15
 _RINV = pow(_R, -1, 2**64)
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
