@@ -1,7 +1,7 @@
 """Operator 1, WARC derivatives: response records to linked metadata and plain-text conversion records.
 
 Each response gives two records that name it in WARC-Refers-To, with its target URI and date: a
-`conversion` with the plain text of an HTML body, and a `metadata` record (application/warc-fields)
+`conversion` with the plain text of a body of HTML or text, its transfer and content encodings undone, and a `metadata` record (application/warc-fields)
 with the source record's header, HTTP status and headers, digests and the links that the body names.
 Block digests are SHA-256 of the block; the response's payload digest is carried along.  Record ids
 are name-based UUIDs, so that a rebuilt record has the same id.
@@ -13,6 +13,7 @@ import hashlib
 import html as html_text
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -77,29 +78,88 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return lines[0], [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:])], body
 
 
+def _unchunked(body: bytes) -> bytes:
+    """The body of a chunked transfer; one cut short gives what came. ValueError if it isn't chunked at all."""
+    out, at = [], 0
+    while at < len(body):
+        end = body.find(b"\r\n", at)
+        size = int(body[at : end if end >= 0 else len(body)].partition(b";")[0].strip() or b"x", 16)
+        if size == 0 or end < 0:
+            break
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return b"".join(out)
+
+
+def entity(http: list[tuple[str, str]], body: bytes) -> tuple[bytes | None, str]:
+    """The body without its transfer and content encodings, and what went wrong ('' if nothing did).
+
+    A compressed stream that is cut or broken gives what can be read of it; an encoding that isn't known, or a
+    chunked body that isn't one, gives None.
+    """
+    listed = lambda name: [x.strip().lower() for k, v in http if k.lower() == name for x in v.split(",") if x.strip()]
+    trouble = ""
+    for name in [*reversed(listed("transfer-encoding")), *reversed(listed("content-encoding"))]:
+        if name == "identity":
+            continue
+        if name == "chunked":
+            try:
+                body = _unchunked(body)
+            except ValueError:
+                return None, "bad chunks"
+        elif name in ("gzip", "x-gzip", "deflate"):
+            raw = name == "deflate" and body[:1] != b"x"
+            stream, parts = zlib.decompressobj(-15 if raw else 47), []
+            try:
+                for i in range(0, len(body), 65_536):
+                    parts.append(stream.decompress(body[i : i + 65_536]))
+                trouble = trouble or ("" if stream.eof else f"{name} cut short")
+            except zlib.error:
+                trouble = f"bad {name}"
+            body = b"".join(parts)
+        else:
+            return None, f"unknown encoding {name}"
+    return body, trouble
+
+
+def _kind(content_type: str, body: bytes) -> str:
+    """html, plain or other, by the media type; without one, by whether the body starts with a tag."""
+    media = content_type.partition(";")[0].strip().lower()
+    if media in ("text/html", "application/xhtml+xml"):
+        return "html"
+    if not media:
+        return "html" if body.lstrip()[:1] == b"<" else "plain" if b"\0" not in body else "other"
+    return "plain" if media.startswith("text/") else "other"
+
+
 def _field(value: str) -> str:
     return " ".join(value.split())
 
 
 def derive(headers: dict[str, str], block: bytes) -> list[dict]:
-    """The conversion and the metadata record of one response."""
+    """The conversion and the metadata record of one response; a body that is no text has only the latter.
+
+    HTML is converted to its plain text, other text is taken as it is.
+    """
     status, http, body = split_http(block)
     kind = next((v for k, v in http if k.lower() == "content-type"), "")
     charset = re.search(r"charset=[\"']?([\w-]+)", kind, re.I)
+    plain, trouble = entity(http, body)
+    form = "other" if plain is None else _kind(kind, plain)
     try:
-        text = body.decode(charset[1] if charset else "utf-8", "replace")
+        text = (plain or b"").decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
-        text = body.decode("utf-8", "replace")
+        text = (plain or b"").decode("utf-8", "replace")
     source, uri, date = (headers.get(k, "") for k in ("WARC-Record-ID", "WARC-Target-URI", "WARC-Date"))
     payload = headers.get("WARC-Payload-Digest") or digest(body)
     kept = "\r\n".join(f"{k}: {_field(v)}" for k, v in headers.items())
-    conversion = plain_text(text).encode()
+    conversion = (plain_text(text) if form == "html" else text).encode()
     conversion_id = record_id("conversion", source)
-    fields = [("sourceRecord", source), ("conversionRecord", conversion_id), ("httpStatus", status), *((f"httpHeader-{k}", v) for k, v in http), ("sourcePayloadDigest", payload), ("sourceBlockDigest", headers.get("WARC-Block-Digest") or digest(block))]
-    fields += [("outlink", f"{x} {t}") for t, x in links(text)]
+    fields = [("sourceRecord", source), *([("conversionRecord", conversion_id)] if form != "other" else []), ("httpStatus", status), *((f"httpHeader-{k}", v) for k, v in http), ("sourcePayloadDigest", payload), ("sourceBlockDigest", headers.get("WARC-Block-Digest") or digest(block))]
+    fields += [("decoding", trouble)] * bool(trouble) + [("outlink", f"{x} {t}") for t, x in (links(text) if form == "html" else [])]
     metadata = "".join(f"{k}: {_field(v)}\r\n" for k, v in fields).encode()
     common = {"refers_to": source, "target_uri": uri, "warc_date": date, "source_payload_digest": payload, "source_headers": kept}
-    rows = [(conversion_id, "conversion", "text/plain; charset=utf-8", conversion), (record_id("metadata", source), "metadata", "application/warc-fields", metadata)]
+    rows = [(conversion_id, "conversion", "text/plain; charset=utf-8", conversion)] * (form != "other") + [(record_id("metadata", source), "metadata", "application/warc-fields", metadata)]
     return [
         common | {"record_id": i, "record_type": t, "content_type": c, "block_digest": digest(b), "payload_digest": digest(b), "content_length": len(b), "block": b.decode()}
         for i, t, c, b in rows
@@ -126,7 +186,7 @@ def _batch(keys: list, rows: list[dict], name: str, kind: pa.DataType) -> pa.Rec
 
 
 def derivatives(records: DataFrame) -> DataFrame:
-    """(record_key, then the columns of RECORD), two rows for each response of records (record_key, headers, block).
+    """(record_key, then the columns of RECORD), two rows, or one without a text, for each response of records (record_key, headers, block).
 
     headers is a map of the record's WARC headers, block its bytes.  A record of another type gives
     none; without headers it counts as a response without id, URI and date.  A null block is an empty
