@@ -1,14 +1,14 @@
 """Operator 6, benchmark decontamination with SimHash windows and a multi-index Hamming search.
 
 For each length that a benchmark item has, the windows of that many words in a document are
-fingerprinted: 64 signs of the weighted sum of their five-word shingles' bits.  Eight tables, one
+fingerprinted: 64 signs of the sum of their five-word shingles' bits.  Eight tables, one
 for each byte of the fingerprint, hold the items under all byte values within RADIUS // 8 bits of
 their own; two fingerprints within RADIUS agree so far in some byte, so none within it is missed.
 Candidates are verified by the weighted Jaccard similarity of their shingles, THRESHOLD or more.
 
 A similarity above 0 needs a common shingle, so fingerprints are only made for windows that hold a
-shingle of an item of their length.  Weights are the shingle's count in the window times its
-inverse document frequency in the benchmark; a shingle that no item has counts as the rarest.
+shingle of an item of their length.  Weights are the shingle's count times its inverse document
+frequency in the whole benchmark; a shingle that the item doesn't have counts as the rarest.
 Words are runs of ASCII letters and digits and of other characters beyond ASCII, A-Z folded.
 An item with fewer words than a shingle is one shingle, sought as such.
 
@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinledger.llm import wordhash
-from twinledger.llm.stored import cut, small
+from twinledger.llm.stored import cut, small, wrapped
 
 U = np.uint64
-SHINGLE, THRESHOLD, RADIUS, ITEM_LIMIT = 5, 0.8, 23, 50_000
+SHINGLE, THRESHOLD, RADIUS, ITEM_LIMIT = 5, 0.8, 15, 50_000
 _TABLE = wordhash.byte_table(61, True)
 _BITS = U(1) << np.arange(64, dtype=U)
 _NEAR = [np.array([x ^ y for y in range(256) if y.bit_count() <= RADIUS // 8], dtype=np.int64) for x in range(256)]
@@ -61,27 +61,48 @@ class Items:
     tables: list[dict[int, list[int]]]
 
 
-def prepare(ids: list[int], texts: list[str]) -> list[Items]:
-    by: dict[int, list[tuple[int, int, np.ndarray]]] = {}
-    column = pa.array(texts, pa.string())
-    for row, to, buf, offs in wordhash.texts(column):
+def _bags(texts: list[str]) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(row, shingle length, words, shingle hashes) of each text with words."""
+    for row, to, buf, offs in wordhash.texts(pa.array(texts, pa.string())):
         found = wordhash.Words(buf, offs, _TABLE, wordhash.NOT_ALNUM)
         for d in range(to - row):
             a, b = found.first[d], found.first[d + 1]
             if k := int(min(SHINGLE, b - a)):
-                by.setdefault(k, []).append((ids[row + d], int(b - a), found.runs(k, 62)[0][a : b - k + 1]))
+                yield row + d, k, int(b - a), found.runs(k, 62)[0][a : b - k + 1]
+
+
+class Frequencies:
+    """In how many items of the benchmark each shingle is, by shingle length."""
+
+    def __init__(self) -> None:
+        self.items: dict[int, int] = {}
+        self.of: dict[int, dict[int, int]] = {}
+
+    def add(self, texts: list[str]) -> None:
+        for _, k, _, hashes in _bags(texts):
+            self.items[k] = self.items.get(k, 0) + 1
+            of = self.of.setdefault(k, {})
+            for v in set(hashes.tolist()):
+                of[v] = of.get(v, 0) + 1
+
+    def weight(self, k: int, shingle: int | None) -> float:
+        """Inverse document frequency; None, or a shingle that no item has, counts as the rarest."""
+        return float(np.log1p(self.items[k] / self.of[k].get(shingle, 1)))
+
+
+def prepare(ids: list[int], texts: list[str], common: Frequencies | None = None) -> list[Items]:
+    """Items of one block. common: frequencies over all blocks; without it, over these items."""
+    if common is None:
+        common = Frequencies()
+        common.add(texts)
+    by: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+    for row, k, words, hashes in _bags(texts):
+        by.setdefault(k, []).append((ids[row], words, hashes))
     out = []
     for k, rows in by.items():
-        df: dict[int, int] = {}
-        bags = []
-        for _, _, h in rows:
-            values, counts = np.unique(h, return_counts=True)
-            bags.append(dict(zip(values.tolist(), counts.tolist())))
-            for v in bags[-1]:
-                df[v] = df.get(v, 0) + 1
-        weight = {v: float(np.log1p(len(rows) / n)) for v, n in df.items()}
-        sums = np.stack([(_signs(h) * np.array([weight[v] for v in h.tolist()])[:, None]).sum(axis=0) for _, _, h in rows])
-        prints = _print(sums)
+        bags = [dict(zip(*(x.tolist() for x in np.unique(h, return_counts=True)))) for _, _, h in rows]
+        weight = {v: common.weight(k, v) for b in bags for v in b}
+        prints = _print(np.stack([_signs(h).sum(axis=0) for _, _, h in rows]))
         tables: list[dict[int, list[int]]] = [{} for _ in range(8)]
         holders: dict[int, list[int]] = {}
         for i, p in enumerate(prints.tolist()):
@@ -90,14 +111,14 @@ def prepare(ids: list[int], texts: list[str]) -> list[Items]:
                     tables[t].setdefault(int(x), []).append(i)
             for v in bags[i]:
                 holders.setdefault(v, []).append(i)
-        out.append(Items(k, np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), weight, float(np.log1p(len(rows))), bags, prints, np.sort(np.array(list(df), dtype=U)), holders, tables))
+        out.append(Items(k, np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), weight, common.weight(k, None), bags, prints, np.sort(np.array(list(weight), dtype=U)), holders, tables))
     return out
 
 
-def similarity(a: dict[int, int], b: dict[int, int], weight: dict[int, float], unseen: float) -> float:
-    """Weighted Jaccard of two bags of shingles."""
-    low = sum(min(n, b[v]) * weight.get(v, unseen) for v, n in a.items() if v in b)
-    high = sum(n * weight.get(v, unseen) for v, n in a.items()) + sum(n * weight.get(v, unseen) for v, n in b.items()) - low
+def similarity(window: dict[int, int], item: dict[int, int], weight: dict[int, float], unseen: float) -> float:
+    """Weighted Jaccard of two bags of shingles. weight: of the item's shingles; others weigh unseen."""
+    low = sum(min(n, window[v]) * weight[v] for v, n in item.items() if v in window)
+    high = sum(n * weight[v] for v, n in item.items()) + sum(n * (weight[v] if v in item else unseen) for v, n in window.items()) - low
     return low / high if high else 0.0
 
 
@@ -122,8 +143,7 @@ def _in_text(runs: np.ndarray, items: Items) -> list[tuple[int, int, float, int]
             for lo in range(0, len(block), 4096):
                 part = block[lo : lo + 4096]
                 here = runs[part[0] : part[-1] + m]
-                weights = np.array([items.weight.get(v, items.unseen) for v in here.tolist()])
-                run = np.vstack([np.zeros(64), np.cumsum(_signs(here) * weights[:, None], axis=0)])
+                run = np.vstack([np.zeros(64), np.cumsum(_signs(here), axis=0)])
                 prints = _print(run[m:] - run[:-m])
                 for s, p in zip(part.tolist(), prints.tolist()):
                     for i in {i for t in range(8) for i in items.tables[t].get(p >> (8 * t) & 255, ())}:
@@ -157,34 +177,42 @@ def _search(kinds: list[Items]):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, start_word, similarity, bits_apart): for each row of docs and each item that it
-    holds, the best window, of equal ones the first.
-
-    Null and empty texts hold nothing, and items without words are nowhere.  A repeated row is found
-    again; repeated items are found under each id.  Other columns of either table are ignored.
-    """
-    kinds: list[Items] = []
+def _listed(benchmark: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
+    """Ids and texts of ITEM_LIMIT items at a time."""
     ids, texts = [], []
-    listed = benchmark.select("item_id", "text").where("text is not null").orderBy("item_id", "text")
-    out = None
-    for r in listed.toLocalIterator():
+    for r in benchmark.select("item_id", "text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
         ids.append(r[0])
         texts.append(r[1])
         if len(ids) == ITEM_LIMIT:
-            out = _union(out, docs, prepare(ids, texts))
+            yield ids, texts
             ids, texts = [], []
-    return _union(out, docs, prepare(ids, texts) if ids or out is None else kinds)
+    if ids:
+        yield ids, texts
+
 
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, start_word, similarity, bits_apart): for each row of docs and each item that it
+    holds, the best window, of equal ones the first.
 
-def _union(out: DataFrame | None, docs: DataFrame, kinds: list[Items]) -> DataFrame:
-    part = docs.select("doc_id", "text").mapInArrow(_search(kinds), "doc_id long, item_id long, start_word long, similarity double, bits_apart int")
-    return part if out is None else out.union(part)
+    Null and empty texts hold nothing, and items without words are nowhere.  A repeated row is found
+    again; repeated items are found under each id.  Other columns of either table are ignored.  Weights
+    come from the whole benchmark, whatever block an item is in.
+    """
+    common = Frequencies()
+    for _, texts in _listed(benchmark):
+        common.add(texts)
+    out = None
+    for ids, texts in _listed(benchmark):
+        part = docs.select("doc_id", "text").mapInArrow(_search(prepare(ids, texts, common)), "doc_id long, item_id long, start_word long, similarity double, bits_apart int")
+        out = part if out is None else out.union(part)
+    if out is None:
+        return docs.select("doc_id", *(F.lit(0).cast(t).alias(c) for c, t in (("item_id", "long"), ("start_word", "long"), ("similarity", "double"), ("bits_apart", "int")))).where("false")
+    return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold a benchmark item. Rows without a doc_id are judged by their text's hash."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    found = contaminated(keyed.select(F.col("_key").alias("doc_id"), "text"), benchmark)
-    gone = small(cut(found.select(F.col("doc_id").alias("_key")).distinct()))
-    return keyed.join(gone, "_key", "left_anti").drop("_key")
+    keyed = wrapped(docs, "text", F.xxhash64("doc_id", "text").alias("key"))
+    found = contaminated(keyed.select(F.col("key").alias("doc_id"), "text"), benchmark)
+    gone = small(cut(found.select(F.col("doc_id").alias("key")).distinct()))
+    return keyed.join(gone, "key", "left_anti").select("row.*")
