@@ -2,7 +2,7 @@
 
 A source with n rows and target weight w gets the mean repetition rate w * total / n.  Each document
 draws its count from the Poisson distribution of that mean by inversion of a uniform number that a
-hash of seed and document gives; so any task, and any retry, draws the same.  A mean above MOST_RATE
+hash of seed, doc_id and text gives; so any task, and any retry, draws the same.  A mean above MOST_RATE
 is drawn as a sum of equal parts, each with a hash of its own: the sum of Poisson counts is Poisson,
 and exp of minus a part is far from the least double.  A document is repeated by its count, and the
 copies are sorted by another hash: a global shuffle.
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinledger.llm.stored import cut, small
+from twinledger.llm.stored import cut, small, unwrapped, wrapped
 
 SEED = 17
 #: Of n ** POWER, for sources without a target weight of their own.
@@ -60,18 +60,24 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, seed: in
     """docs with rate, n_copies, copy (from 0) and position (the key of the shuffle), a row for each copy.
 
     weights: the target share of each source (any scale; a source that isn't named gets none); without
-    them shares are as the square root of the rows.  Rows that repeat doc_id and text draw alike;
-    null and empty texts count as rows; a null source is a source; no rows give no rows.
+    them shares are as the square root of the rows.  A row draws by its doc_id and text, so rows that
+    repeat both draw alike and others on their own; null and empty texts count as rows, and draw as
+    the empty text; a null source is a source; no rows give no rows.  Columns of docs with one of these
+    four names are replaced.
     """
-    names = ("rate", "n_copies", "copy", "position")
-    rows = docs.drop(*names)
-    known = rates(rows, weights).drop("n_rows").withColumnsRenamed({"source": "_source", "parts": "_parts", "steps": "_steps"})
-    drawn = rows.join(small(cut(known)), F.coalesce(F.col("source"), F.lit("")) == F.col("_source"))
-    drawn = drawn.withColumn("_u", uniform(F.col("doc_id"), seed=seed))
-    first = F.size(F.filter("_steps", lambda p: p <= F.col("_u"))).cast("long")
-    other = F.transform(F.sequence(F.lit(1), F.col("_parts") - 1), lambda k: uniform(F.col("doc_id"), k, seed=seed))
-    others = F.aggregate(other, F.lit(0).cast("long"), lambda n, v: n + F.size(F.filter("_steps", lambda p: p <= v)))
-    count = first + F.when(F.col("_parts") > 1, others).otherwise(F.lit(0))
-    drawn = drawn.withColumn("n_copies", count).where("n_copies > 0").drop("_steps", "_parts", "_source", "_u")
+    rows = wrapped(docs, "doc_id", F.coalesce("source", F.lit("")).alias("of"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("name"))
+    known = small(cut(rates(docs, weights).drop("n_rows")))
+    drawn = rows.join(known, rows["of"] == known["source"]).withColumn("u", uniform(F.col("doc_id"), F.col("name"), seed=seed))
+    first = F.size(F.filter("steps", lambda p: p <= F.col("u"))).cast("long")
+    other = F.transform(F.sequence(F.lit(1), F.col("parts") - 1), lambda k: uniform(F.col("doc_id"), F.col("name"), k, seed=seed))
+    others = F.aggregate(other, F.lit(0).cast("long"), lambda n, v: n + F.size(F.filter("steps", lambda p: p <= v)))
+    count = first + F.when(F.col("parts") > 1, others).otherwise(F.lit(0))
+    drawn = drawn.withColumn("n_copies", count).where("n_copies > 0").select("row", "doc_id", "name", "rate", "n_copies")
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)))
-    return copies.withColumn("position", uniform(F.col("doc_id"), F.col("copy"), seed=seed + 1)).select(*rows.columns, *names).orderBy("position", "doc_id", "copy")
+    placed = copies.withColumn("position", uniform(F.col("doc_id"), F.col("name"), F.col("copy"), seed=seed + 1))
+    return unwrapped(placed.orderBy("position", "doc_id", "name", "copy"), "rate", "n_copies", "copy", "position")
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED) -> DataFrame:
+    """The rows that replicate makes, with their own columns only."""
+    return replicate(wrapped(docs, "doc_id", "text", "source"), weights, seed).select("row.*")

@@ -16,9 +16,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinledger.llm.stored import unwrapped, wrapped
+
 WORD_GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 FEATURES = ("word_length", "symbol_rate", "dup_line_rate", "repeat_rate", "upper_rate", "n_words")
+STATISTICS = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *FEATURES)
 
 
 @dataclass(frozen=True)
@@ -60,7 +63,10 @@ def _repeated_words(words: Column) -> Column:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed, and the list's features."""
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed, and the list's features.
+
+    Columns of docs with one of these names are replaced; any others stay, whatever their names.
+    """
     text = F.coalesce("text", F.lit(""))
     words = F.filter(F.split(text, WORD_GAP), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -73,9 +79,8 @@ def statistics(docs: DataFrame) -> DataFrame:
         ),
     )
     dup_lines = _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *FEATURES)
-    found = docs.drop(*set(names) - {"text", "doc_id"}).withColumns({"_words": counts, "_lines": dup_lines, "n_symbols": symbols.cast("long"), "_upper": upper})
-    found = found.withColumns({c: F.col(f"_words.{c}") for c in ("n_words", "word_chars", "n_repeat_words")} | {c: F.col(f"_lines.{c}") for c in ("n_lines", "n_dup_lines")})
+    found = wrapped(docs, "text").select("row", counts.alias("words"), dup_lines.alias("lines"), symbols.cast("long").alias("n_symbols"), upper.alias("upper"))
+    found = found.select("row", "words.*", "lines.*", "n_symbols", "upper")
     per = lambda x, y: F.col(x) / F.greatest(F.col(y), F.lit(1))
     found = found.withColumns(
         {
@@ -84,10 +89,10 @@ def statistics(docs: DataFrame) -> DataFrame:
             "symbol_rate": per("n_symbols", "n_words"),
             "dup_line_rate": per("n_dup_lines", "n_lines"),
             "repeat_rate": per("n_repeat_words", "n_words"),
-            "upper_rate": per("_upper", "word_chars"),
+            "upper_rate": per("upper", "word_chars"),
         }
     )
-    return found.drop("_words", "_lines", "_upper", "n_lines")
+    return unwrapped(found, *STATISTICS)
 
 
 def _score(rows: list[dict], rule: Rule) -> tuple[int, int]:
@@ -159,3 +164,8 @@ def judge(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000) -> DataFr
     of docs that have the name of a statistic are replaced; each repeated row is judged by its own text."""
     rules = train(docs, labels, sample_rows)
     return statistics(docs).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+
+
+def keep(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000) -> DataFrame:
+    """The rows of docs that judge keeps, with their own columns only."""
+    return judge(wrapped(docs, "doc_id", "text"), labels, sample_rows).where("kept").select("row.*")

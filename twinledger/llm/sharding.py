@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinledger.llm.stored import cut, small
+from twinledger.llm.stored import cut, small, unwrapped, wrapped
 
 SHARDS = 24
 #: Groups of a block, rows of a run of slots.
@@ -100,20 +100,19 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     from 0 in each shard; rows that repeat a doc_id, or have none, get slots of their own.  Columns of
     docs with one of these names are replaced; no rows give no rows.
     """
-    names = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
-    rows = docs.drop(*names)
     text = F.coalesce("text", F.lit(""))
-    sized = rows.withColumns({"size": F.octet_length(text).cast("long") + 8, "text_crc32": F.crc32(text.cast("binary")), "_key": F.unhex(F.sha2(text, 256))})
-    count = rows.count()
-    groups = sized.groupBy(F.col("_key").alias("key")).agg(F.sum("size").alias("bytes"))
-    placed = sized.join(place_groups(groups, shards).withColumnRenamed("key", "_key"), "_key").drop("_key")
+    sized = wrapped(docs, "doc_id", F.octet_length(text).cast("long").alias("bytes"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("key"))
+    sized = sized.withColumn("size", F.col("bytes") + 8).drop("bytes")
+    count = docs.count()
+    groups = sized.groupBy("key").agg(F.sum("size").alias("bytes"))
+    placed = sized.join(place_groups(groups, shards), "key").drop("key")
     # slots: runs of a shard's rows by hash, numbered in parallel from where the runs before them end
     runs = max(1, -(-count // (shards * RUN)))
-    in_run = placed.withColumn("_run", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(runs)))
-    ends = Window.partitionBy("shard").orderBy("_run")
-    starts = in_run.groupBy("shard", "_run").agg(F.count("*").alias("_n")).withColumn("_start", F.sum("_n").over(ends) - F.col("_n"))
-    starts = small(cut(starts.select(F.col("shard").alias("_shard"), F.col("_run").alias("_of"), "_start")))
-    inside = Window.partitionBy("shard", "_run").orderBy("doc_id", "text_crc32", "size")
-    numbered = in_run.withColumn("_row", F.row_number().over(inside).cast("long") - 1)
-    both = numbered.join(starts, (F.col("shard") == F.col("_shard")) & (F.col("_run") == F.col("_of")))
-    return both.select(*rows.columns, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_start") + F.col("_row")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    in_run = placed.withColumn("run", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(runs)))
+    ends = Window.partitionBy("shard").orderBy("run")
+    starts = in_run.groupBy("shard", "run").agg(F.count("*").alias("n")).withColumn("start", F.sum("n").over(ends) - F.col("n"))
+    starts = small(cut(starts.select("shard", "run", "start")))
+    inside = Window.partitionBy("shard", "run").orderBy("doc_id", "text_crc32", "size")
+    numbered = in_run.withColumn("nth", F.row_number().over(inside).cast("long") - 1).join(starts, ["shard", "run"])
+    made = numbered.withColumns({"law": F.lit("bytes"), "slot": F.col("start") + F.col("nth"), "grown_shard": F.lit(None).cast("int")})
+    return unwrapped(made, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
