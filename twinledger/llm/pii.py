@@ -1,11 +1,11 @@
 """Operator 7, personal data by a character BiLSTM with CRF transitions, over fixed base patterns.
 
 The base patterns (email, ip, card, phone) are exact.  The network tags characters with O, B- and
-I- of the four kinds and finds what the patterns don't: phones without a plus, spelt-out at signs,
+I- of the four kinds and finds what the patterns don't: phones without a plus, spelt-out at signs and dots,
 cards grouped by dots.  It is trained here, in numpy, on labelled spans: by default on sentences
 that a seeded generator writes, so it needs no corpus and is the same in every run.
 
-Every span of the four kinds holds a digit or an at sign, plain or in brackets; windows of WINDOW
+Every span of the four kinds holds a digit or an at sign, plain or spelt out; windows of WINDOW
 characters, half overlapping, cover REACH characters around each one and the tokens cut there; a span
 cut by its window is refused.  All windows of all texts of a
 batch are decoded by Viterbi; where windows disagree, the span farther from the ends of its window
@@ -30,8 +30,9 @@ WINDOW, REACH, HIDDEN, EMBEDDING = 96, 32, 20, 12
 _SYMBOLS = "abcdefghijklmnopqrstuvwxyz0@.+-()[]{}_% ,:;/=\"'#!?\n"
 _UNKNOWN, _PAD = len(_SYMBOLS) + 1, 0
 _CODE = {c: i + 1 for i, c in enumerate(_SYMBOLS)} | {c: _SYMBOLS.index("0") + 1 for c in "123456789"} | {c.upper(): i + 1 for i, c in enumerate(_SYMBOLS[:26])}
-_REST = re.compile(r"\S*(?:\s?(?:\.|[(\[{] ?dot ?[)\]}])\s?\S+)*", re.I)
-ANCHOR = re.compile(r"[0-9@]|[(\[{] ?at ?[)\]}]", re.I)
+_REST = re.compile(r"\S*(?:\s?(?:\.|[(\[{] ?dot ?[)\]}]|\bdot\b)\s?\S+)*", re.I)
+#: What every span of the four kinds holds: a digit, an at sign, or "at" spelt out, bare only where a "dot" follows.
+ANCHOR = re.compile(r"[0-9@]|[(\[{] ?at ?[)\]}]|\bat\b(?=[^\n]{1,100}?\bdot\b)", re.I)
 
 Span = tuple[str, int, int]
 
@@ -273,8 +274,10 @@ def examples(n: int = 3_000, seed: int = 5) -> list[tuple[str, list[Span]]]:
 
     def email() -> str:
         name = rng.choice((word() + rng.choice(("", ".", "_", "-")) + word(), word() + "." + digits(2), word() + digits(rng.randint(0, 3))))
-        at = rng.choice(("@", "@", "@", " (at) ", "(at)", " [at] ", "[at]", " @ ", " {at} "))
-        dot = "." if at in "@" or rng.random() < 0.4 else rng.choice((".", " . ", " (dot) ", "(dot)", " [dot] ", "[dot]"))
+        at = rng.choice(("@", "@", "@", " (at) ", "(at)", " [at] ", "[at]", " @ ", " {at} ", " at ", " at "))
+        if rng.random() < 0.15:
+            at = at.upper()
+        dot = rng.choice((" dot ", " dot ", " DOT ", " (dot) ")) if at in (" at ", " AT ") else "." if at in "@" or rng.random() < 0.4 else rng.choice((".", " . ", " (dot) ", "(dot)", " [dot] ", "[dot]"))
         return name + at + word() + rng.choice(("", digits(1))) + dot + rng.choice(("com", "org", "net", "de", "example" + dot + "com"))
 
     def ip() -> str:
@@ -372,7 +375,9 @@ def _is_cut(text: str, a: int, b: int, lo: int, hi: int) -> bool:
 def _plausible(kind: str, text: str) -> bool:
     digits = "".join(c for c in text if c in "0123456789")
     if kind == "email":
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+(?: ?@ ?| ?[(\[{] ?at ?[)\]}] ?)[A-Za-z0-9-]+(?:(?: ?\. ?| ?[(\[{] ?dot ?[)\]}] ?)[A-Za-z0-9-]+)+", text, re.I))
+        spelt = r"(?: ?[(\[{] ?dot ?[)\]}] ?| dot )"
+        marked = r"(?: ?@ ?| ?[(\[{] ?at ?[)\]}] ?)[A-Za-z0-9-]+(?:(?: ?\. ?|" + spelt + r")[A-Za-z0-9-]+)+"
+        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+(?:" + marked + r"| at [A-Za-z0-9-]+(?:" + spelt + r"[A-Za-z0-9-]+)+)", text, re.I))
     if kind == "ip":
         parts = re.findall("[0-9]+", text)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) and bool(re.fullmatch(r"[0-9 .()\[\]]+", text))
