@@ -245,6 +245,12 @@ def held_out() -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
+def _pieces(word: bytes) -> list[bytes]:
+    """The strings of a word, as a text's words are cut: overlapping pieces of LONGEST bytes."""
+    half = LONGEST // 2
+    return [word] if len(word) <= LONGEST else [word[i : i + LONGEST] for i in range(0, len(word) - half, half)]
+
+
 def _cover(sets: list[frozenset[str]], counts: dict[str, tuple[int, int]]) -> list[str]:
     """Words that explain most sets, in turn; each explains three sets more at least than clean documents have it."""
     left, out = [s for s in sets if s], []
@@ -279,8 +285,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
         sets.setdefault(doc, set()).add(w)
     covering = _cover([frozenset(sets[d]) for d in sorted(sets)], held)
     often = sorted((w for w, (bad, _) in held.items() if bad >= SURE and w not in covering), key=lambda w: (-held[w][0], w))
-    witnesses = [w.encode() for w in (covering + often)[: 2 * LANDMARKS]]
-    clean = [r[0].encode() for r in counts.where("clean > 0").orderBy(F.xxhash64("word"), "word").limit(CLEAN_WORDS).select("word").collect()]
+    witnesses = [p for w in (covering + often)[: 2 * LANDMARKS] for p in _pieces(w.encode())]
+    clean = [p for r in counts.where("clean > 0").orderBy(F.xxhash64("word"), "word").limit(CLEAN_WORDS).select("word").collect() for p in _pieces(r[0].encode())]
     if not witnesses or not clean:
         return Machine(np.zeros(1 << 15), -1.0, 1.0, 0.0)
     machine = fit(witnesses, clean)
