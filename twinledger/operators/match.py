@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinledger.functions import similarity as S
@@ -89,15 +89,29 @@ def pairs_in_window(requests: DataFrame, base: DataFrame, config: Config = DEFAU
 
 
 def paired(pairs: DataFrame, requests: DataFrame, base: DataFrame) -> DataFrame:
-    """Pairs (req_id, bp_id) with the features of both, as pairs_in_window has them."""
+    """Pairs (req_id, bp_id, ...) with the features of both, as pairs_in_window has them."""
     q = requests.select("req_id", *(F.col(c).alias("q_" + c) for c in ("norm_text", "text_len", "tokens", "chunks")))
     held = base.select("bp_id", "norm_text", "text_len", "tokens", "token_count", "chunks", "len_bucket")
     return pairs.join(q, "req_id").join(held, "bp_id")
 
 
+def _edits(a: Column, b: Column, longest: Column, config: Config) -> Column:
+    """Edits of two texts; -1 beyond those that the direct rule allows."""
+    band = F.floor(longest * (1 - (config.direct - EPS) / 100) + 1e-9)
+    return F.call_function("levenshtein", a, b, band.cast("int"))
+
+
 def find(requests: DataFrame, base: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """(req_id, bp_id, score, rule) of matching pairs: bounds over blocks first, then the exact metrics of what is left."""
-    return matches(paired(candidates(requests, base, config), requests, base), config)
+    """(req_id, bp_id, score, rule) of matching pairs: bounds over blocks first, then the edit distance on the texts
+    alone, and all metrics on the few pairs that are left, which only then get their tokens."""
+    pairs = candidates(requests, base, config)
+    if not config.weighted_can_fire:
+        q = requests.select("req_id", F.col("norm_text").alias("q_norm_text"))
+        texts = pairs.join(q, "req_id").join(base.select("bp_id", "norm_text"), "bp_id")
+        longest = F.greatest(F.length("norm_text"), F.length("q_norm_text"))
+        near = _edits(F.col("q_norm_text"), F.col("norm_text"), longest, config) >= 0
+        pairs = texts.where((F.col("most_jaccard") >= config.direct - 2 * EPS) | near).select("req_id", "bp_id", "most_jaccard")
+    return matches(paired(pairs, requests, base), config)
 
 
 def bounded_groups(pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -139,23 +153,24 @@ def matches(pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """The same as matches_brute, by bounds first: a banded edit distance, then the Jaccard bound of near tokens;
     soft Jaccard and digits are only computed where a rule can still fire."""
     longest = F.greatest("text_len", "q_text_len")
-    band = F.floor(longest * (1 - (config.direct - EPS) / 100) + 1e-9)
     pairs = bounded_groups(pairs, config)
     if config.weighted_can_fire:
         staged = pairs.withColumn("levenshtein", round2(S.levenshtein_similarity(F.col("q_norm_text"), F.col("norm_text"))))
     else:
-        edits = F.call_function("levenshtein", F.col("q_norm_text"), F.col("norm_text"), band.cast("int"))
-        counted = pairs.withColumn("edits", edits)
+        counted = pairs.withColumn("edits", _edits(F.col("q_norm_text"), F.col("norm_text"), longest, config))
         staged = counted.withColumn("levenshtein", F.when(F.col("edits") < 0, F.lit(0.0)).otherwise(round2((1 - F.col("edits") / longest) * 100)))
-    a, b = F.size("q_tokens"), F.size("tokens")
-    if not config.weighted_can_fire:
-        # all but the first few tokens are taken as near: most pairs end here, at a fraction of the comparisons
-        some = S.near_tokens(F.slice("tokens", 1, FIRST_TOKENS), F.col("q_tokens")) + F.greatest(b - FIRST_TOKENS, F.lit(0))
-        least = config.direct - 2 * EPS
-        staged = staged.where((F.col("levenshtein") >= config.direct) | ((a == 0) & (b == 0)) | ((100 + least) * F.least(a, some) >= least * (a + b) - 1e-6))
-    near = F.least(a, S.near_tokens(F.col("tokens"), F.col("q_tokens")))
-    bound = F.when((a == 0) & (b == 0), 100.0).when((a == 0) | (b == 0), 0.0).otherwise(100 * near / (a + b - near))
     sure = F.col("levenshtein") >= config.direct
+    if "most_jaccard" in pairs.columns:
+        bound = F.col("most_jaccard")
+    else:
+        a, b = F.size("q_tokens"), F.size("tokens")
+        if not config.weighted_can_fire:
+            # all but the first few tokens are taken as near: most pairs end here, at a fraction of the comparisons
+            some = S.near_tokens(F.slice("tokens", 1, FIRST_TOKENS), F.col("q_tokens")) + F.greatest(b - FIRST_TOKENS, F.lit(0))
+            least = config.direct - 2 * EPS
+            staged = staged.where(sure | ((a == 0) & (b == 0)) | ((100 + least) * F.least(a, some) >= least * (a + b) - 1e-6))
+        near = F.least(a, S.near_tokens(F.col("tokens"), F.col("q_tokens")))
+        bound = F.when((a == 0) & (b == 0), 100.0).when((a == 0) | (b == 0), 0.0).otherwise(100 * near / (a + b - near))
     staged = staged.withColumn("most", F.when(sure, F.lit(100.0)).otherwise(bound))
     lev, jac, num = config.shares
     alive = sure | (F.col("most") >= config.direct - 2 * EPS)

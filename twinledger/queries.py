@@ -547,7 +547,7 @@ def duplicate_groups(spark, sf_dir):
 
 @query()
 def check_lines(spark, sf_dir):
-    """Every line of every document is a party, and those of documents divisible by 20 are requests: the engine at size.
+    """Every line of every document is a party, and those of documents divisible by 20 are requests.
 
     SQL scores every pair of the length window, which doesn't end on these; tested on a small fixture.
     """
@@ -559,9 +559,9 @@ def check_lines(spark, sf_dir):
 
 @query()
 def synthetic_check(spark, sf_dir):
-    """As many synthetic parties as there are documents, and one of twenty of them perturbed as requests."""
-    rows = synthetic.parties(spark, table(spark, sf_dir, "documents").count())
-    made = synthetic.perturbed(rows.where("cast(bp_id AS bigint) % 20 = 0")).withColumns({"bp_id": F.concat("bp_id", F.lit("p")), "ktp_number": F.lit(""), "npwp_number": F.lit("")})
+    """As many synthetic parties as there are orders, and one of a hundred of them perturbed as requests: the engine at size."""
+    rows = synthetic.parties(spark, table(spark, sf_dir, "orders").count())
+    made = synthetic.perturbed(rows.where("cast(bp_id AS bigint) % 100 = 0")).withColumns({"bp_id": F.concat("bp_id", F.lit("p")), "ktp_number": F.lit(""), "npwp_number": F.lit("")})
     return match.check(indexes.derive(made).withColumn("req_id", F.col("bp_id")), indexes.derive(rows))
 
 
