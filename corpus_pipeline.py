@@ -46,16 +46,30 @@ STAGES = [
     ("karmarkar_karp_sharding", shards),
 ]
 
-#: Signatures, fingerprints and learnt rules are not for SQL; tests hold the stages against brute force.
+#: Fingerprints, learnt rules and partitions are not for SQL; a test holds each of the first three stages against a plain
+#: version on its own input, and others hold replication and sharding against theirs.
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder wherever Spark can write."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another; each is written as Parquet in the shared folder and read again."""
+    """The stages one after another; each is written as Parquet in the shared folder and read again.
+
+    A stage's rows are deleted once the next stage's are written; the last ones stay for the caller.
+    """
     from twinledger.llm.stored import shared_dir
 
-    docs, base = _table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, base, before = _table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}-{name}")
-        docs = spark.read.parquet(f"{base}/{i}-{name}")
+        path = f"{base}/{i}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            _delete(spark, before)
+        before = path
     return docs
