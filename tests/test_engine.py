@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,6 +96,14 @@ def test_groups_of_duplicates(spark):
     assert {r.bp_id: r.group_id for r in match.duplicate_groups(base).collect()} == {"A": "A", "B": "A", "C": "A", "D": "D"}
 
 
+def test_bigrams_of_long_texts(spark):
+    """Bigrams don't cross texts, and a text of a million characters costs no square of its length."""
+    rows = spark.createDataFrame([("ab" * 500_000,), ("b a",), ("", ), (None,), ("z",), ("zz9",)], "norm_text string")
+    began = time.time()
+    assert {tuple(r) for r in bounds.bigrams(rows).collect()} == {("ab", 500_000), ("ba", 499_999), ("b ", 1), (" a", 1), ("zz", 1), ("z9", 1)}
+    assert time.time() - began < 60
+
+
 def test_bounded_scans_resume(spark):
     base = indexes.base_table(parties(spark, *((str(i), "", f"alpha beta {i:03d}", "gamma delta", "", "") for i in range(50)), ("Z", "", "alpha beta 999", "gamma delte", "", ""))).persist()
     request = asked(spark, ("q", "", "alpha beta 999", "gamma delta", "", ""))
